@@ -31,7 +31,10 @@ MAGIC = b"ORRTOK1\n"
 HEADER = "<q?IQ"
 END_ID = 0
 #: Pieces of text that a worker remembers the ids of; then it starts anew. Speed only.
-CACHE = 400_000
+CACHE = 1_000_000
+SLOT_BITS = 21
+#: Pieces of a string that the tokenizer gets.
+MANY = 4000
 #: Bytes of text encoded at once.
 SLICE = 4 << 20
 
@@ -67,8 +70,18 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[~wide]
 
 
+def _runs(length: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... length[i] numbers for each i, one after another."""
+    ahead = np.cumsum(length) - length
+    return np.repeat(first - ahead, length) + np.arange(int(length.sum()))
+
+
 class Encoder:
-    """Ids of many texts at once: each distinct piece between cuts is encoded once."""
+    """Ids of many texts at once: each distinct piece between cuts is encoded once.
+
+    Pieces that are not remembered are put together into long strings, which the
+    tokenizer encodes whole; ids tell by the lengths of their bytes where a piece ends.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,25 +89,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.hasher = Hasher(77)
+        special = {i: len(x.content.encode()) for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)  # a character stands for each byte
+        self.bytes = np.zeros(1 + max([0, *vocabulary.values(), *special]), np.int64)
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.bytes[list(special)] = list(special.values())
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.first, self.size = np.zeros(1, np.int64), 0
-
-    def _learn(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, data: bytes) -> None:
-        if len(self.keys) > CACHE:
-            self.clear()
-        pieces = [data[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = [np.concatenate([*self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])]
-        slots = np.arange(len(self.first) - 1, len(self.first) - 1 + len(found))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-        keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
-        order = np.argsort(keys)
-        self.keys, self.slots = keys[order], slots[order]
+        """Remember nothing. slot: of a piece's hash; key, first, size: of what stands there."""
+        self.slot = np.zeros(1 << SLOT_BITS, np.int32)
+        self.key, self.first, self.size = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encoded(self, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and how many each has."""
+        length = end - start
+        joined = data[_runs(length, start)]
+        edges = np.append(0, np.cumsum(length))
+        safe = np.isin(edges[:-1], cuts(joined), assume_unique=True)
+        apart = np.flatnonzero(~safe)  # here a new string begins
+        limits = np.append(apart, len(length))
+        more = [np.arange(a, b, MANY) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True) if b - a > MANY]
+        limits = np.unique(np.concatenate([limits, *more]))
+        text = joined.tobytes()
+        at = edges[limits].tolist()
+        found = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in found)])
+        past = np.cumsum(self.bytes[ids])
+        if len(past) and past[-1] != edges[-1]:
+            raise ValueError("the tokenizer is not a byte-level one")
+        return ids, np.diff(np.searchsorted(past, edges, "right"))
+
+    def _learn(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
+        ids, size = self._encoded(start, end, data)
+        place = np.arange(len(self.key), len(self.key) + len(keys))
+        self.slot[keys >> np.uint64(64 - SLOT_BITS)] = place
+        self.key = np.concatenate([self.key, keys])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -102,28 +136,29 @@ class Encoder:
         for low, high in slices(offsets, SLICE):
             part = data[offsets[low] : offsets[high]]
             edges = offsets[low : high + 1] - offsets[low]
-            start = np.union1d(cuts(part), edges[:-1][edges[:-1] < edges[1:]])
+            begins = np.zeros(len(part) + 1, bool)
+            begins[cuts(part)] = begins[edges[:-1]] = True
+            start = np.flatnonzero(begins[:-1])
             end = np.append(start[1:], len(part))[: len(start)]
             keys = self.hasher.spans(part, start, end) + (end - start).astype(np.uint64)
-            known, at, which = np.unique(keys, return_index=True, return_inverse=True)
-            place = np.searchsorted(self.keys, known)
-            missing = np.ones(len(known), bool)
-            inside = place < len(self.keys)
-            missing[inside] = self.keys[place[inside]] != known[inside]
-            if missing.any():
-                if len(self.keys) > CACHE:
-                    self.clear()
-                    missing[:] = True
-                self._learn(known[missing], start[at[missing]], end[at[missing]], part.tobytes())
-            slot = self.slots[np.searchsorted(self.keys, known)][which]
-            first, length = self.first[slot], self.first[slot + 1] - self.first[slot]
-            ahead = np.cumsum(length) - length
-            total = int(length.sum())
-            ids = self.ids[0][np.repeat(first - ahead, length) + np.arange(total)]
-            bound = np.searchsorted(start, edges)  # pieces before each document
-            place = np.append(ahead, total)[bound]
-            for i in range(high - low):
-                yield ids[place[i] : place[i + 1]]
+            keys[keys == 0] = 1  # 0 stands for nothing
+            if len(self.key) > CACHE:
+                self.clear()
+            place = self.slot[keys >> np.uint64(64 - SLOT_BITS)]
+            unknown = np.flatnonzero(self.key[place] != keys)
+            if len(unknown):
+                own = keys[unknown]
+                order = np.argsort(own)
+                new = np.ones(len(order), bool)
+                new[1:] = own[order][1:] != own[order][:-1]
+                at, before = unknown[order[new]], len(self.key)
+                self._learn(keys[at], start[at], end[at], part)
+                place[unknown[order]] = before + np.cumsum(new) - 1
+            size = self.size[place]
+            ids = self.ids[_runs(size, self.first[place])]
+            bound = np.append(0, np.cumsum(size))[np.searchsorted(start, edges)].tolist()
+            for a, b in zip(bound[:-1], bound[1:], strict=True):
+                yield ids[a:b]
 
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
