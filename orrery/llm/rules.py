@@ -71,8 +71,9 @@ def count(words: Words, edges: np.ndarray, hasher: Hasher) -> Counts:
     symbols = _sums(_SYMBOL[data], edges[:-1], edges[1:])
     # lines: from one \n or document edge to the next
     breaks = np.flatnonzero(data == 0x0A)
-    low = np.union1d(breaks + 1, edges[:-1])
-    low = low[low < len(data)]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[breaks + 1] = begins[edges[:-1]] = True
+    low = np.flatnonzero(begins[:-1])
     high = np.append(low[1:], len(data))[: len(low)]
     high = high - ((data[high - 1] == 0x0A) if len(high) else 0)
     filled = np.searchsorted(words.start, high) > np.searchsorted(words.start, low)
