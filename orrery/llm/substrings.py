@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.llm import sketch
 from orrery.llm.textscan import Hasher, Words, mix, scan, window_starts
@@ -25,7 +25,12 @@ WIDTH = 13
 #: Windows that are compared in one group.
 GROUP = 1_000_000
 
-FOUND = "bucket int, doc_id long, first binary, second binary, docs binary"
+#: Bytes of text that the last pass handles at once.
+PORTION = 8 << 20
+
+#: Either windows to compare (first, second, docs, counts from base), or hashes of documents (first, docs, counts) of one portion.
+FOUND = "bucket int, portion int, base long, first binary, second binary, docs binary, counts binary"
+MARKS = "portion int, docs binary, counts binary, hashes binary"
 _LAST = (1 << 63) - 1
 
 
@@ -46,42 +51,63 @@ def _groups(first: np.ndarray, second: np.ndarray, docs: np.ndarray) -> tuple[np
     return order, d == least
 
 
-def _marks(docs: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The distinct hashes of each document."""
+def _portion(docs: np.ndarray, portions: int) -> np.ndarray:
+    """As portion_of(), of an array."""
+    d = docs.astype(np.uint64)
+    return ((d ^ (d >> np.uint64(17)) ^ (d >> np.uint64(33))) & np.uint64((1 << 62) - 1)).astype(np.int64) % portions
+
+
+def portion_of(doc_id: Column, portions: int) -> Column:
+    """A number below `portions` (which is odd) that spreads ids."""
+    return F.pmod(doc_id.bitwiseXOR(F.shiftrightunsigned(doc_id, 17)).bitwiseXOR(F.shiftrightunsigned(doc_id, 33)).bitwiseAND(F.lit((1 << 62) - 1)), F.lit(portions)).cast("int")
+
+
+def _marks(docs: np.ndarray, first: np.ndarray, portions: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """The distinct hashes of each document: portion, documents, how many hashes each has, and these."""
     order = np.lexsort((first, docs))
     docs, first = docs[order], first[order]
     keep = np.ones(len(docs), bool)
     keep[1:] = (docs[1:] != docs[:-1]) | (first[1:] != first[:-1])
     docs, first = docs[keep], first[keep]
-    edges = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1], [True]))) if len(docs) else np.zeros(1, int)
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(docs[low]), first[low:high].tobytes()
+    at = _portion(docs, portions)
+    order = np.argsort(at, kind="stable")
+    at, docs, first = at[order], docs[order], first[order]
+    edges = np.searchsorted(at, np.arange(portions + 1))
+    for portion in np.flatnonzero(np.diff(edges)).tolist():
+        own = docs[edges[portion] : edges[portion + 1]]
+        new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        yield portion, own[new].tobytes(), np.diff(new, append=len(own)).astype(np.uint32).tobytes(), first[edges[portion] : edges[portion + 1]].tobytes()
 
 
-def _settle(first: np.ndarray, second: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _settle(first: np.ndarray, second: np.ndarray, docs: np.ndarray, buckets: int, portions: int) -> pa.RecordBatch:
     order, least = _groups(first, second, docs)
     first, second, docs = first[order], second[order], docs[order]
-    rows: list[tuple] = [(i % buckets, i, x, None, None) for i, x in _marks(docs[~least], first[~least])]
+    rows: list[tuple] = [(p % buckets, p, None, hashes, None, own, counts) for p, own, counts, hashes in _marks(docs[~least], first[~least], portions)]
     once = least.copy()
     once[1:] &= ~((first[1:] == first[:-1]) & (second[1:] == second[:-1]))
     first, second, docs = first[once], second[once], docs[once]
+    base = int(docs.min()) if len(docs) else 0
+    kind = np.uint32 if len(docs) and int(docs.max()) - base < 1 << 32 else np.uint64
     edges = np.searchsorted(first, np.ceil(np.arange(1, buckets) * (2.0**64 / buckets)).astype(np.uint64))
     for bucket, (a, b, d) in enumerate(zip(np.split(first, edges), np.split(second, edges), np.split(docs, edges), strict=True)):
         if len(a):
-            rows.append((bucket, None, a.tobytes(), b.tobytes(), d.tobytes()))
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["bucket", "doc_id", "first", "second", "docs"])
+            rows.append((bucket, None, base, a.tobytes(), b.tobytes(), (d - base).astype(kind).tobytes(), None))
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, max_bits: int = sketch.MAX_BITS, group: int = GROUP) -> DataFrame:
-    """doc_id and hashes of windows that start in a document with a smaller id.
+def _docs(blob: bytes, n: int, base: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.uint64).astype(np.int64) + base
 
-    docs: doc_id, text (neither null). Several rows per document; the hashes are 64
-    bits each and meant to be looked up within that document. Windows of different
-    documents are compared by 96 bits.
+
+def repeats(docs: DataFrame, size: float, portions: int, width: int = WIDTH, max_bits: int = sketch.MAX_BITS, group: int = GROUP) -> DataFrame:
+    """Hashes of windows that start in a document with a smaller id.
+
+    docs: doc_id, text (neither null); size: about how many words. A row holds some
+    hashes of some documents of one portion; they are 64 bits each and meant to be
+    looked up within their document. Windows of different documents are compared by 96 bits.
     """
     spark = docs.sparkSession
-    size = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     bits, buckets = sketch.width_bits(size, max_bits), int(max(1, np.ceil(size / 2 / group)))
 
     def all_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -104,22 +130,26 @@ def repeats(docs: DataFrame, width: int = WIDTH, max_bits: int = sketch.MAX_BITS
                 held.append((first[kept], second, ids[words.low + doc[kept]]))
                 size += len(second)
                 if size >= sketch.FLUSH // 2:
-                    yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                    yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, portions)
                     held, size = [], 0
         if size:
-            yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+            yield _settle(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, portions)
 
     def compare(parts: pd.DataFrame) -> pd.DataFrame:
-        known = parts["docs"].isna()
-        out = list(zip(parts["doc_id"][known].astype("int64"), parts["first"][known], strict=True))
+        known = parts["portion"].notna()
+        done = parts[known]
+        out = list(zip(done["portion"].astype("int64"), done["docs"], done["counts"], done["first"], strict=True))
         rest = parts[~known]
-        first, second, docs = (np.concatenate([np.frombuffer(x, t) for x in rest[c]] or [np.zeros(0, t)]) for c, t in (("first", np.uint64), ("second", np.uint32), ("docs", np.int64)))
-        order, least = _groups(first, second, docs)
-        out += _marks(docs[order][~least], first[order][~least])
-        return pd.DataFrame(out, columns=["doc_id", "hashes"])
+        first = [np.frombuffer(x, np.uint64) for x in rest["first"]]
+        docs = [_docs(x, len(f), int(base)) for x, f, base in zip(rest["docs"], first, rest["base"], strict=True)]
+        second = [np.frombuffer(x, np.uint32) for x in rest["second"]]
+        a, b, d = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((first, np.uint64), (second, np.uint32), (docs, np.int64)))
+        order, least = _groups(a, b, d)
+        out += _marks(d[order][~least], a[order][~least], portions)
+        return pd.DataFrame(out, columns=["portion", "docs", "counts", "hashes"])
 
     found = docs.select("doc_id", "text").mapInArrow(find, FOUND)
-    return found.groupBy("bucket").applyInPandas(compare, "doc_id long, hashes binary")
+    return found.groupBy("bucket").applyInPandas(compare, MARKS)
 
 
 def _joined(words: Words, kept: np.ndarray) -> list[str]:
@@ -146,42 +176,49 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the input. A null or short text loses nothing. Rows of one id are one document when windows are judged;
     a null id counts as the largest. An empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marks = repeats(rows, width, max_bits, group).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("known"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    portions = int(np.ceil(size / PORTION)) | 1
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strip(texts: pa.Table, marks: pa.Table) -> pa.Table:
         a = Hasher(11)
-        for batch in batches:
-            hashes = batch.column(2)
-            for words in scan(batch.column(1)):
-                count = len(words.start)
-                edges = np.zeros(count + 1, np.int64)
-                marked = [i for i in range(words.docs) if hashes[words.low + i].is_valid]
-                if marked:
-                    first, start, doc, _ = _hashes(words, a, width)
-                    known = [np.frombuffer(b"".join(x.as_py() for x in hashes[words.low + i].values), np.uint64) for i in marked]
-                    keys = np.concatenate([x ^ mix(np.array([i + 1], np.uint64)) for i, x in zip(marked, known, strict=True)])
-                    some = np.isin(doc, marked)
-                    start, own = start[some], first[some] ^ mix((doc[some] + 1).astype(np.uint64))
-                    start = start[np.isin(own, keys)]
-                    np.add.at(edges, start, 1)
-                    np.add.at(edges, start + width, -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                low, high = turn[::2], turn[1::2]
-                # runs never cross documents unless two meet at an edge: cut them there
-                inner = words.first[1:-1]
-                inner = inner[(inner > 0) & (inner < count)]
-                inner = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
-                low, high = np.sort(np.concatenate((low, inner))), np.sort(np.concatenate((high, inner)))
-                owner = np.searchsorted(words.first, low, "right") - 1
-                base = words.first[owner] if len(low) else low
-                spans = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(owner, np.arange(words.docs + 1)), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(low - base, pa.int32()), pa.array(high - base, pa.int32())], ["first", "past"]),
-                )
-                removed = np.append(0, np.cumsum(gone))[words.first]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.low, words.docs), pa.array(words.counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(_joined(words, ~gone)), spans], ["doc_id", "n_words", "n_removed", "kept", "spans"])
-
-    joined = rows.join(marks, "doc_id", "left").select("_id", "text", "hashes")
-    return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:int,past:int>>")
+        ids = texts["doc_id"].to_numpy()
+        keys = [np.zeros(0, np.uint64)]
+        for docs, counts, hashes in zip(*(marks[c].to_pylist() for c in ("docs", "counts", "hashes")), strict=True):
+            owner = np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32))
+            keys.append(np.frombuffer(hashes, np.uint64) ^ mix(owner.astype(np.uint64)))
+        marked = np.sort(np.concatenate(keys))
+        out = []
+        for words in scan(texts["text"].combine_chunks()):
+            count = len(words.start)
+            edges = np.zeros(count + 1, np.int64)
+            if len(marked):
+                first, start, doc, _ = _hashes(words, a, width)
+                own = first ^ mix(ids[words.low : words.high].astype(np.uint64))[doc]
+                at = np.minimum(np.searchsorted(marked, own), len(marked) - 1)
+                start = start[marked[at] == own]
+                np.add.at(edges, start, 1)
+                np.add.at(edges, start + width, -1)
+            gone = np.cumsum(edges[:-1]) > 0
+            turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+            low, high = turn[::2], turn[1::2]
+            # a run that goes on into the next document is cut there
+            inner = words.first[1:-1]
+            inner = inner[(inner > 0) & (inner < count)]
+            inner = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
+            low, high = np.sort(np.concatenate((low, inner))), np.sort(np.concatenate((high, inner)))
+            owner = np.searchsorted(words.first, low, "right") - 1
+            base = words.first[owner] if len(low) else low
+            spans = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(owner, np.arange(words.docs + 1)), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(low - base, pa.int32()), pa.array(high - base, pa.int32())], ["first", "past"]),
+            )
+            removed = np.append(0, np.cumsum(gone))[words.first]
+            known = texts["known"].combine_chunks().slice(words.low, words.docs)
+            out.append(pa.RecordBatch.from_arrays([known, pa.array(words.counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(_joined(words, ~gone), pa.string()), spans], schema=result))
+        return pa.Table.from_batches(out, schema=result)
+
+    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))])
+    placed = rows.withColumn("portion", portion_of(F.col("doc_id"), portions))
+    marks = repeats(rows, size / 6, portions, width, max_bits, group)
+    return placed.groupBy("portion").cogroup(marks.groupBy("portion")).applyInArrow(strip, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:int,past:int>>")
