@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm import decontaminate, language, mixing, neighbours, quality, rules, substrings, tokens, warc
+from orrery.llm import decontaminate, language, licences, mixing, neighbours, quality, rules, substrings, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(_table(spark, sf_dir, "documents"))
+    return found.withColumn("families", F.array_join("families", ","))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256)
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_substrings": op2_substrings,
     "op3_quality": op3_quality,
+    "op4_licences": op4_licences,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_tokens": op7_tokens,
