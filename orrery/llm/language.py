@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from orrery.llm.quality import fold
 from orrery.llm.textscan import LOWER, buffers, slices
@@ -118,6 +118,20 @@ def _lettered(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _judged(model: Model | None, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """Languages and scores, slice by slice."""
+    for low, high, part, edges in folded(texts):
+        some = np.array([bool(_LETTER[part[a:b]].any()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+        for i in np.flatnonzero(~some).tolist():
+            some[i] = edges[i] < edges[i + 1] and _lettered(texts[low + i].as_py())
+        if model is None:
+            yield low, high, [UNKNOWN] * (high - low), np.zeros(high - low)
+            continue
+        value = model.decide(part, edges)
+        names = [model.languages[i] if ok else UNKNOWN for i, ok in zip(value.argmax(axis=1).tolist(), some.tolist(), strict=True)]
+        yield low, high, names, np.where(some, np.clip((value.max(axis=1) + 1) / 2, 0, 1), 0).astype(float)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of each row.
 
@@ -127,25 +141,26 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column(1)
-            for low, high, part, edges in folded(texts):
-                some = np.array([bool(_LETTER[part[a:b]].any()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
-                for i in np.flatnonzero(~some).tolist():
-                    some[i] = edges[i] < edges[i + 1] and _lettered(texts[low + i].as_py())
-                if model is None:
-                    names, best = [UNKNOWN] * (high - low), np.zeros(high - low)
-                else:
-                    value = model.decide(part, edges)
-                    at = value.argmax(axis=1)
-                    names = [model.languages[i] if ok else UNKNOWN for i, ok in zip(at.tolist(), some.tolist(), strict=True)]
-                    best = np.where(some, np.clip((value.max(axis=1) + 1) / 2, 0, 1), 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(names, pa.string()), pa.array(best.astype(float))], ["doc_id", "lang_pred", "score"])
+            for low, high, names, best in _judged(shared.value, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(names, pa.string()), pa.array(best)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with the columns lang_pred and score, as identify(); all its columns go through."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, names, best in _judged(shared.value, batch.column(at)):
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(best)], [*batch.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
 def classify(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
     """Languages of all documents, learned outside one fold.
 

@@ -65,7 +65,7 @@ def mix(
 
     docs: any table with an id, a text and a source; other columns are ignored.
     Result: one row per row of docs: doc_id, source, size, source_size, target,
-    taken. `taken` counts words, repeats included: whole passes over the source,
+    taken, key (the random key). `taken` counts words, repeats included: whole passes over the source,
     then the documents in random order up to the budget, the last one in part. A
     null text has size 0; a null source is a source of its own, the last one. Rows
     that are alike in id, source and text are taken one after the other. Empty
@@ -89,25 +89,26 @@ def mix(
     buckets = sums.select("source_key", "bucket", (F.sum("bucket_size").over(ahead) - F.col("bucket_size")).alias("ahead")).join(whole, "source_key")
     inside = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = rows.join(buckets, ["source_key", "bucket"]).select("doc_id", name, "size", "source_size", "target", start.alias("start"))
+    placed = rows.join(buckets, ["source_key", "bucket"]).select("doc_id", "key", name, "size", "source_size", "target", start.alias("start"))
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - passes * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), "key")
 
 
-def mixed(docs: DataFrame, **options: object) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 20, **options: object) -> DataFrame:
     """The documents of the mix: whole ones once per pass, a cut one by its first words.
 
     Returns the columns of docs. A document that is not taken goes. The words of a
-    cut text are joined by single spaces. Ids must identify rows.
+    cut text are joined by single spaces. docs: doc_id, text, source; no two rows alike in id and text.
     """
-    taken = mix(docs, **options).select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    taken = mix(docs, seed=seed, **options).filter(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     size, took = F.col("_size"), F.col("_taken")
     whole = F.when(size > 0, F.floor(took / size)).otherwise(F.lit(0)).cast("int")
     cut = (took - whole * size).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
-    rows = docs.join(taken.filter(took > 0), "doc_id").withColumn("_cut", F.explode(copies))
+    keyed = docs.withColumn("_own", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    rows = keyed.join(taken, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_cut", F.explode(copies))
     text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_cut"), F.lit(1))), " "))
     return rows.withColumn("text", text).select(*docs.columns)
