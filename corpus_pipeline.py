@@ -19,19 +19,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts that are null or have no letter go. Languages are learned from the documents that have one.
     """
     model = language.train(docs.filter(fold(F.col("doc_id"), 3) != 1))
-    found = settled(language.identify(docs, model).distinct(), "languages")
-    named = docs.join(found.filter(F.col("lang_pred") != language.UNKNOWN).select("doc_id", "lang_pred"), "doc_id")
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    if model is None:
+        return docs.limit(0)
+    named = language.label(docs, model)
+    return named.filter(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: that with the least id."""
-    found = neighbours.neighbours(docs)
-    return docs.join(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of linked documents: that with the least id.
+
+    Of rows alike in id and text one stays. Documents without an id are in no group and stay.
+    """
+    found = settled(neighbours.neighbours(docs), "groups-found")
+    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not first.filter(F.col("rows") > 1).isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    if not found.filter(F.col("doc_id").isNull()).isEmpty():
+        kept = kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return kept
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window. Those without an id stay: no result can name them."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
