@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.llm import sketch
 from orrery.llm.components import components
@@ -145,10 +145,11 @@ def _rarity(found: DataFrame, bits: int) -> np.ndarray:
 
 
 def _candidates(found: DataFrame, percent: int, bits: int) -> DataFrame:
-    """doc_id, size, set, prefix and key of documents with a shingle in their prefix that others may have.
+    """doc_id, size, set, prefix, rest and key of documents with a shingle in their prefix that others may have.
 
     Prefix: the rarest shingles, one more than a set may lack of a linked set;
-    those that no other document has are left out. Key: a random shingle that
+    those that no other document has are left out. Rest: how many shingles of the set
+    stand at a shingle of the prefix or after it, which bounds the overlap with a set that shares no rarer one. Key: a random shingle that
     others may have; linked documents agree on it more often than not.
     """
     shared = found.sparkSession.sparkContext.broadcast(_rarity(found, bits))
@@ -164,13 +165,14 @@ def _candidates(found: DataFrame, percent: int, bits: int) -> DataFrame:
                 if common.sum() < need(len(own), percent):
                     continue
                 first = np.lexsort((own, level))[: len(own) - need(len(own), percent) + 1]
-                prefix = own[first][common[first]]
+                at = np.flatnonzero(common[first])
+                prefix = own[first][at]
                 if len(prefix):
-                    rows.append((doc, len(own), blob, prefix.astype(np.int64), int(mix(own[common]).min().astype(np.int64))))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)], ["doc_id", "size", "sets", "prefix", "key"])
+                    rows.append((doc, len(own), blob, prefix.astype(np.int64), len(own) - at, int(mix(own[common]).min().astype(np.int64))))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()), strict=True)], ["doc_id", "size", "sets", "prefix", "rest", "key"])
 
-    return found.mapInArrow(run, "doc_id long, size long, sets binary, prefix array<long>, key long")
+    return found.mapInArrow(run, "doc_id long, size long, sets binary, prefix array<long>, rest array<long>, key long")
 
 
 class _Union:
@@ -188,7 +190,7 @@ def _linked(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, perce
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-GROUPS = "group long, members array<long>, sizes array<long>, sets array<binary>, prefix array<long>, least long, most long"
+GROUPS = "group long, members array<long>, sizes array<long>, sets array<binary>, prefix array<struct<token:long,rest:long>>, least long, most long"
 
 
 def _form(percent: int):
@@ -218,8 +220,11 @@ def _form(percent: int):
         out = []
         for root in np.unique(roots).tolist():
             own = np.flatnonzero(roots == root)
-            prefix = np.unique(np.concatenate([rows["prefix"][i] for i in own.tolist()]))
-            out.append((int(rows["doc_id"][root]), rows["doc_id"][own].tolist(), size[own].tolist(), [rows["sets"][i] for i in own.tolist()], prefix.tolist(), int(size[own].min()), int(size[own].max())))
+            shared, place = np.unique(np.concatenate([rows["prefix"][i] for i in own.tolist()]), return_inverse=True)
+            rest = np.zeros(len(shared), np.int64)
+            np.maximum.at(rest, place, np.concatenate([rows["rest"][i] for i in own.tolist()]))
+            prefix = [{"token": t, "rest": r} for t, r in zip(shared.tolist(), rest.tolist(), strict=True)]
+            out.append((int(rows["doc_id"][root]), rows["doc_id"][own].tolist(), size[own].tolist(), [rows["sets"][i] for i in own.tolist()], prefix, int(size[own].min()), int(size[own].max())))
         return pd.DataFrame(out, columns=[x.split()[0] for x in GROUPS.split(", ")])
 
     return form
@@ -254,15 +259,23 @@ def _check(pairs: DataFrame, groups: DataFrame, percent: int, whole: bool) -> Da
 
 def _links(groups: DataFrame, percent: int) -> DataFrame:
     """Links between groups; with those inside groups they connect all that is connected."""
-    postings = settled(groups.select("group", "least", "most", F.explode("prefix").alias("token")), "postings")
-    fits = lambda a, b: (F.col(f"{a}.least") * percent <= F.col(f"{b}.most") * 100) & (F.col(f"{b}.least") * percent <= F.col(f"{a}.most") * 100)
+    postings = settled(groups.select("group", "least", "most", F.explode("prefix").alias("p")).select("group", "least", "most", "p.token", "p.rest"), "postings")
+
+    def fits(a: str, b: str) -> Column:
+        """Sizes that can be linked, and a shared shingle early enough in both prefixes to be the rarest of a large enough overlap."""
+        sizes = (F.col(f"{a}.least") * percent <= F.col(f"{b}.most") * 100) & (F.col(f"{b}.least") * percent <= F.col(f"{a}.most") * 100)
+        wanted = F.ceil((F.col(f"{a}.least") + F.col(f"{b}.least")) * percent / (100 + percent))
+        return sizes & (F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest")) >= wanted)
+
     # first members: each group against the first group with the same shingle
     first = settled(postings.groupBy("token").agg(F.min("group").alias("first"), F.max("group").alias("last")).filter(F.col("first") < F.col("last")).select("token", "first"), "first")
-    star = postings.join(first, "token").filter(F.col("group") != F.col("first")).select(F.col("first").alias("u"), F.col("group").alias("v")).distinct()
+    heads = postings.join(first, (postings["token"] == first["token"]) & (postings["group"] == first["first"]), "left_semi")
+    a, b = heads.alias("a"), postings.alias("b")
+    star = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & fits("a", "b")).select(F.col("a.group").alias("u"), F.col("b.group").alias("v")).distinct()
     near = settled(_check(star, groups, percent, whole=False), "near")
     known = settled(components(near), "known")
     # all groups that share a shingle and are not connected yet
-    named = postings.join(known, postings["group"] == known["node"], "left").select("token", "group", "least", "most", F.coalesce("component", "group").alias("part"))
+    named = postings.join(known, postings["group"] == known["node"], "left").select("token", "group", "least", "most", "rest", F.coalesce("component", "group").alias("part"))
     named = settled(named, "named")
     mixed = settled(named.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter(F.col("a") < F.col("b")).select("token"), "mixed")
     rest = settled(named.join(mixed, "token", "left_semi"), "rest")
