@@ -161,9 +161,22 @@ class Encoder:
                 yield ids[a:b]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """An encoder that a Python worker keeps from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
 
+KEPT = np.arange(4) <= np.arange(4)[:, None]
+
+
 def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit numbers."""
     n = numbers.astype("<u4")
@@ -171,7 +184,7 @@ def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(n) // 4) * 4, np.uint8)
     padded[: len(n)] = extra
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    kept = np.arange(4) <= extra[:, None]
+    kept = KEPT[extra]
     return control.tobytes(), n.view(np.uint8).reshape(-1, 4)[kept].tobytes()
 
 
@@ -191,8 +204,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack_ids = Encoder(path), zstandard.ZstdCompressor(level=1)
+        pack_ids = zstandard.ZstdCompressor(level=1)
         for batch in batches:
+            encoder = encoder_of(path)
             out: list[bytes] = []
             counts: list[int] = []
             for ids in encoder.encode(batch.column(1)):
