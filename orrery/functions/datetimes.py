@@ -36,7 +36,15 @@ def justify_days(i: Column) -> Column:
 
 
 def justify_interval(i: Column) -> Column:
-    return justify_days(justify_hours(i))
+    """Both, and then one sign for all parts."""
+    j = justify_days(justify_hours(i))
+    months, days, micros = j["months"], j["days"], j["micros"]
+    down = (months > 0) & ((days < 0) | ((days == 0) & (micros < 0)))
+    up = (months < 0) & ((days > 0) | ((days == 0) & (micros > 0)))
+    fix = F.when(down, F.lit(1)).when(up, F.lit(-1)).otherwise(F.lit(0))
+    months, days = months - fix, days + fix * 30
+    turn = F.when((days > 0) & (micros < 0), F.lit(1)).when((days < 0) & (micros > 0), F.lit(-1)).otherwise(F.lit(0))
+    return _parts(months, days - turn, micros + turn * F.lit(DAY))
 
 
 def add(ts: Column, i: Column) -> Column:

@@ -113,7 +113,7 @@ def _metaphone(word: str, most: int) -> str:
             if after == "I" and after2 and after2 in "OA":
                 out += "X"
             elif after == "H":
-                out += "0"
+                out += "T" if after2 == "M" else "0"
             elif not (after == "C" and after2 == "H"):
                 out += "T"
         elif c == "V":

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geometric_mean(v: pd.Series) -> float:
     """A user-defined aggregate; use it in groupBy().agg()."""
     known = v.dropna()
