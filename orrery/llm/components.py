@@ -9,23 +9,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.store import settled
+from orrery.llm.store import discard, settled
 
 
 def _least(edges: DataFrame) -> DataFrame:
+    """The least node among each node and its neighbours."""
     return settled(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Larger neighbours go to the least one."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both)
+    out = settled(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Smaller neighbours, and the node itself, go to the least one."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _least(down)
     moved = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    out = settled(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    discard(least)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +48,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = settled(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = settled(_small_star(settled(_large_star(now), "edges")), "edges")
+        large = _large_star(now)
+        small = _small_star(large)
+        discard(now, large)
+        now = small
         before, state = state, _state(now)
         if state == before:
             break

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from orrery.llm.quality import fold
+from orrery.llm.store import small_batches
 from orrery.llm.textscan import LOWER, buffers, slices
 
 LENGTHS = (2, 3, 4)
@@ -107,6 +108,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) ->
 
     docs: doc_id, text, lang; rows where one is null are left out. None without any.
     """
+    small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").dropna().filter(F.length("text") > 0)
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = known.select("doc_id", "lang").withColumn("_n", first).filter(F.col("_n") <= sample).select("doc_id", "_n")

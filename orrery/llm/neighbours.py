@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.llm import sketch
 from orrery.llm.components import components
-from orrery.llm.store import settled
+from orrery.llm.store import discard, settled, small_batches
 from orrery.llm.textscan import WHITE, Hasher, mix, scan, window_starts
 
 #: Words of a shingle; a text of fewer words is one shingle.
@@ -170,9 +170,9 @@ def _candidates(found: DataFrame, percent: int, bits: int) -> DataFrame:
                 if len(prefix):
                     rows.append((doc, len(own), blob, prefix.astype(np.int64), len(own) - at, int(mix(own[common]).min().astype(np.int64))))
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()), strict=True)], ["doc_id", "size", "sets", "prefix", "rest", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()), strict=True)], ["doc_id", "size", "sets", "prefix", "rest", "key"])
 
-    return found.mapInArrow(run, "doc_id long, size long, sets binary, prefix array<long>, rest array<long>, key long")
+    return found.mapInArrow(run, "doc_id long, size long, sets binary, prefix array<long>, rest array<int>, key long")
 
 
 class _Union:
@@ -190,7 +190,7 @@ def _linked(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, perce
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-GROUPS = "group long, members array<long>, sizes array<long>, sets array<binary>, prefix array<struct<token:long,rest:long>>, least long, most long"
+GROUPS = "group long, members array<long>, sizes array<long>, sets array<binary>, prefix array<struct<token:long,rest:int>>, least long, most long"
 
 
 def _form(percent: int):
@@ -221,7 +221,7 @@ def _form(percent: int):
         for root in np.unique(roots).tolist():
             own = np.flatnonzero(roots == root)
             shared, place = np.unique(np.concatenate([rows["prefix"][i] for i in own.tolist()]), return_inverse=True)
-            rest = np.zeros(len(shared), np.int64)
+            rest = np.zeros(len(shared), np.int32)
             np.maximum.at(rest, place, np.concatenate([rows["rest"][i] for i in own.tolist()]))
             prefix = [{"token": t, "rest": r} for t, r in zip(shared.tolist(), rest.tolist(), strict=True)]
             out.append((int(rows["doc_id"][root]), rows["doc_id"][own].tolist(), size[own].tolist(), [rows["sets"][i] for i in own.tolist()], prefix, int(size[own].min()), int(size[own].max())))
@@ -259,7 +259,7 @@ def _check(pairs: DataFrame, groups: DataFrame, percent: int, whole: bool) -> Da
 
 def _links(groups: DataFrame, percent: int) -> DataFrame:
     """Links between groups; with those inside groups they connect all that is connected."""
-    postings = settled(groups.select("group", "least", "most", F.explode("prefix").alias("p")).select("group", "least", "most", "p.token", "p.rest"), "postings")
+    postings = groups.select("group", "least", "most", F.explode("prefix").alias("p")).select("group", "least", "most", "p.token", "p.rest")
 
     def fits(a: str, b: str) -> Column:
         """Sizes that can be linked, and a shared shingle early enough in both prefixes to be the rarest of a large enough overlap."""
@@ -267,21 +267,24 @@ def _links(groups: DataFrame, percent: int) -> DataFrame:
         wanted = F.ceil((F.col(f"{a}.least") + F.col(f"{b}.least")) * percent / (100 + percent))
         return sizes & (F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest")) >= wanted)
 
+    several = settled(postings.groupBy("token").agg(F.min("group").alias("first"), F.max("group").alias("last")).filter(F.col("first") < F.col("last")).select("token", "first"), "several")
+    shared = settled(postings.join(several, "token"), "shared")  # shingles of several groups; the others link nothing
     # first members: each group against the first group with the same shingle
-    first = settled(postings.groupBy("token").agg(F.min("group").alias("first"), F.max("group").alias("last")).filter(F.col("first") < F.col("last")).select("token", "first"), "first")
-    heads = postings.join(first, (postings["token"] == first["token"]) & (postings["group"] == first["first"]), "left_semi")
-    a, b = heads.alias("a"), postings.alias("b")
+    a, b = shared.filter(F.col("group") == F.col("first")).alias("a"), shared.alias("b")
     star = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.group") < F.col("b.group")) & fits("a", "b")).select(F.col("a.group").alias("u"), F.col("b.group").alias("v")).distinct()
     near = settled(_check(star, groups, percent, whole=False), "near")
     known = settled(components(near), "known")
     # all groups that share a shingle and are not connected yet
-    named = postings.join(known, postings["group"] == known["node"], "left").select("token", "group", "least", "most", "rest", F.coalesce("component", "group").alias("part"))
+    named = shared.join(known, shared["group"] == known["node"], "left").select("token", "group", "least", "most", "rest", F.coalesce("component", "group").alias("part"))
     named = settled(named, "named")
+    discard(several, shared, known)
     mixed = settled(named.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter(F.col("a") < F.col("b")).select("token"), "mixed")
     rest = settled(named.join(mixed, "token", "left_semi"), "rest")
+    discard(named, mixed)
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") < F.col("b.part")) & fits("a", "b")).select(F.col("a.group").alias("u"), F.col("b.group").alias("v")).distinct()
-    far = _check(settled(pairs, "pairs"), groups, percent, whole=True)
+    far = settled(_check(pairs, groups, percent, whole=True), "far")
+    discard(rest)
     return near.unionByName(far)
 
 
@@ -296,6 +299,7 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     both where labels meet. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     sets = settled(shingle_sets(rows, width), "sets")
     known = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = settled(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "classes")
@@ -303,13 +307,16 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     with_id = rows.filter(F.col("doc_id").isNotNull())
     found = settled(_survivors(with_id, classes, size, width, percent, max_bits), "survivors")
     some = settled(_candidates(found, percent, rarity_bits), "candidates")
+    discard(found)
     hot = settled(some.groupBy("key").agg(F.sum("size").alias("total")).filter(F.col("total") > group_shingles), "hot")
     parts = F.ceil(F.coalesce("total", F.lit(0)) / group_shingles)
     keyed = some.join(hot, "key", "left").withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(0).cast("long"))
     groups = settled(keyed.groupBy("key", "part").applyInPandas(_form(percent), GROUPS), "groups")
+    discard(some, hot)
     inside = groups.select(F.col("group").alias("u"), F.explode("members").alias("v"))
     edges = _links(groups, percent).unionByName(inside)
     labels = settled(components(edges), "components")
+    discard(groups)
     copies = sets.join(classes.filter(F.col("doc_id") < F.col("last")).select("set_a", "set_b", F.col("doc_id").alias("first")), ["set_a", "set_b"], "left")
     named = copies.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("first"))
     done = named.join(labels, named["first"] == labels["node"], "left")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orrery.llm.store import small_batches
 from orrery.llm.textscan import Hasher, Words, mix, scan
 
 BITS = 18
@@ -156,5 +157,6 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = S
     ignored; empty tables give no rows.
     """
     known = labels.filter(fold(F.col("doc_id"), folds) != 0)
+    small_batches(docs.sparkSession)
     scored = score(docs, train(docs, known, sample=sample))
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", "predicted")

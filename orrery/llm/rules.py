@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from orrery.llm.store import small_batches
 from orrery.llm.textscan import Hasher, Words, mix, scan, window_starts
 
 WIDTH = 5
@@ -185,6 +186,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     has counts of 0 and fails. Rows are judged each by itself, so repeated rows agree; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     order = plan(rows, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

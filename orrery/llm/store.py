@@ -12,11 +12,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,22 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB, where the session leaves Spark's default of 64 MB: Python workers stay small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what settled() wrote for tables that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, _paths.pop(id(df)))
 
 
 def remove(spark: SparkSession, path: str) -> None:

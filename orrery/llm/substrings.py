@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.llm import sketch
+from orrery.llm.store import small_batches
 from orrery.llm.textscan import Hasher, Words, mix, scan, window_starts
 
 #: Words of a window.
@@ -118,7 +119,7 @@ def repeats(docs: DataFrame, size: float, portions: int, width: int = WIDTH, max
     shared = spark.sparkContext.broadcast(sketch.build(docs.select("doc_id", "text"), all_hashes, bits))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, table = Hasher(11), Hasher(23), shared.value
+        a, b, table = Hasher(11), Hasher(11, words=3), shared.value
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -177,6 +178,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a null id counts as the largest. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("known"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     portions = int(np.ceil(size / PORTION)) | 1
 

@@ -62,17 +62,30 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), SLICE_BYTES + 1)
+            size = max(n, min(2 * len(self.up), len(self.up) + SLICE_BYTES))
             self.up, self.down = (self._of(b, size) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
 
+#: Tables of powers that a process needs once: of the base for bytes, and of those for words.
+_powers: dict[int, _Powers] = {}
+
+
+def _powers_of(seed: int) -> _Powers:
+    if seed not in _powers:
+        _powers[seed] = _Powers(_odd(seed))
+    return _powers[seed]
+
+
 class Hasher:
-    """Hashes of spans of bytes and of windows of words, from prefix sums."""
+    """Hashes of spans of bytes and of windows of words, from prefix sums.
+
+    Hashers of one `words` seed combine words alike.
+    """
 
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int, words: int = 2) -> None:
         self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.bytes, self.words = _Powers(_odd(seed + 1)), _Powers(_odd(seed + 2))
+        self.bytes, self.words = _powers_of(1), _powers_of(words)
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         up, down = self.bytes.get(len(data) + 1)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from orrery.llm.store import AtomicFile, new_path, open_fs, settled
+from orrery.llm.store import AtomicFile, discard, new_path, open_fs, settled, small_batches
 from orrery.llm.textscan import Hasher, buffers, slices
 
 MAGIC = b"ORRTOK1\n"
@@ -36,7 +36,7 @@ SLOT_BITS = 21
 #: Pieces of a string that the tokenizer gets.
 MANY = 4000
 #: Bytes of text encoded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A, 0x0D, 0x09]] = True
@@ -247,6 +247,7 @@ def write(docs: DataFrame, **options: Any) -> tuple[DataFrame, np.ndarray]:
     The ids by rank are bounded by the vocabulary, and are stored beside the files.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     encoded = settled(encode(docs, **options), "encoded")
     counts = frequencies(encoded).orderBy(F.desc("n"), "id").toPandas()  # at most one row per id of the vocabulary
     by_rank = counts["id"].to_numpy(np.uint32)
@@ -272,6 +273,7 @@ def write(docs: DataFrame, **options: Any) -> tuple[DataFrame, np.ndarray]:
 
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     manifest = settled(ordered.mapInArrow(run, "at long, uri string, docs long, tokens long"), "token-files")
+    discard(encoded)
     table = AtomicFile(folder, "ids-by-rank.u4")
     table.write(by_rank.astype("<u4").tobytes())
     table.commit()

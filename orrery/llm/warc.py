@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm.store import AtomicFile, new_path, open_fs, settled
+from orrery.llm.store import AtomicFile, discard, new_path, open_fs, settled, small_batches
 
 CHUNK = 1 << 16
 #: Longest header block that the reader accepts.
@@ -94,7 +94,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
             out.commit()
             yield pa.RecordBatch.from_pydict({"uri": [out.uri], "records": [n], "bytes": [out.size]})
 
-    return settled(keyed.mapInArrow(write, MANIFEST), "manifest")
+    small_batches(spark)
+    manifest = settled(keyed.mapInArrow(write, MANIFEST), "manifest")
+    discard(digests, first)
+    return manifest
 
 
 class _Member:
