@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orrery.sources.storage import new_path
+
 
 @dataclass
 class Changed:
@@ -126,9 +128,14 @@ def unique_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def identity(df: DataFrame, name: str, order: Sequence[str], start: int = 1, step: int = 1) -> DataFrame:
-    """A dense sequence in the given order, by sums over ranges: no task sees all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """A dense sequence in the given order, by sums over ranges: no task sees all rows.
+
+    The ranges are written to the shared folder, so that a row's range is the same wherever it is read.
+    """
+    path = new_path(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per partition
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return own.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i") - 1) * step + start).drop("_p", "_i", "_before")

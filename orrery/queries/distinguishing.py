@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from orrery.operators.changes import identity
 from orrery.plans import blocks as B, integrity as I
 from orrery.queries.registry import query, table
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 TREE = I.Tree(("c_custkey",))
 
-_TEXT = "concat_ws('|', {})"
-
-
 def _text(*columns: str) -> str:
     return "concat_ws('|', " + ", ".join(f"coalesce('=' || regexp_replace(CAST({c} AS VARCHAR), '([\\\\|])', '\\\\\\1', 'g'), '~')" for c in columns) + ")"
 
@@ -107,11 +105,8 @@ _FLAGS = f"(WITH s AS {_SETS}, r AS (SELECT bid, rel, key, min(tx_id) FILTER (WH
 
 
 def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("o_orderkey")) - 1
-    return o.select("o_orderkey", n.cast("long").alias("tx_id")).withColumn("bid", F.expr(f"tx_id DIV {BLOCK} + 1"))
+    ids = identity(table(spark, sf_dir, "orders").select("o_orderkey"), "tx_id", ["o_orderkey"], 0)
+    return ids.withColumn("bid", F.expr(f"tx_id DIV {BLOCK} + 1"))
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
