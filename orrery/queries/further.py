@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.functions import arrays as A, extras as X, fuzzy as Z, jsons as J, network as N, search as T, strings as S
+from orrery.functions import arrays as A, extras as X, fuzzy as Z, jsonpath as P, jsons as J, network as N, search as T, strings as S
 from orrery.queries.registry import query, sql, table
+from orrery.sources import copying as C
 
 col, lit = F.col, F.lit
 
@@ -98,3 +99,16 @@ sql("conversation_turns", "SELECT conv_id, turn, role, lag(role) OVER (PARTITION
 def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").createOrReplaceTempView("explained_orders")
     return spark.sql("EXPLAIN FORMATTED SELECT o_custkey, count(*) FROM explained_orders WHERE o_orderkey > 5 GROUP BY o_custkey")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey >= 2 THEN '[' || n_regionkey || ']' ELSE '[]' END AS big, n_nationkey > 10 AS m FROM nation")
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = J.build_object(k=col("n_nationkey"), r=F.array("n_regionkey"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", doc.alias("d"))
+    big = P.path_query_array(col("d"), "$.r[*] ? (@ >= $low)", {"low": 2})
+    return rows.select("n_nationkey", F.concat(lit("["), F.array_join(big, ","), lit("]")).alias("big"), P.path_match(col("d"), "$.k > 10").alias("m"))
+
+
+@query()
+def sample_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.sample_blocks(spark, f"{sf_dir}/lineitem.parquet", 50, 7, 512).select("l_orderkey", "l_linenumber")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.functions import arrays as A, datetimes as D, extras as X, fuzzy as Z, jsons as J, maths as M, network as N, ranges as R, search as T, strings as S
+from orrery.functions import arrays as A, datetimes as D, extras as X, fuzzy as Z, jsonpath as P, jsons as J, maths as M, network as N, ranges as R, search as T, signatures as K, strings as S
 
 
 def value(spark, c):
@@ -134,3 +134,50 @@ def test_extras(spark):
     a, b = (F.create_map(*map(L, x)) for x in (("a", "1", "b", "2"), ("b", "3")))
     assert value(spark, X.hstore_merge(a, b)) == {"a": "1", "b": "3"} and value(spark, X.hstore_delete(a, "a")) == {"b": "2"}
     assert value(spark, X.hmac(L("data"), "key", "md5")) == "9d5c73ef85594d34ec4438b7c97e51d8"
+
+
+@pytest.mark.parametrize(
+    "path,found",
+    [
+        ("$.a[*].b", [1, 2, "x"]), ("$.a.b", [1, 2, "x"]), ("$.a[0].b", [1]), ("$.a[last].b", ["x"]), ("$.a[0 to 1].b", [1, 2]), ("$.a[*] ? (@.b > 1).b", [2]), ("$.none", []), ("$.a.size()", [3]), ("$.a[*].b.type()", ["number", "number", "string"]),
+        ('$.a[*].b ? (@ starts with "x")', ["x"]), ('$.a[*].b ? (@ like_regex "^X" flag "i")', ["x"]), ("$.n + 2 * 3", [13]), ("-$.n", [-7]), ("$.a[*] ? (@.b == 1 || @.b == 2).b", [1, 2]), ("$.a[*] ? (exists(@.c)).b", [2]), ("$.n ? (@ > 100)", []), ("$.n > 5", [True]),
+        ("$.* ? (@ == 7)", [7]), ("$.** ? (@ == 2)", [2]), ("$.n ? (!(@ > 100))", [7]), ("$.z == null", [True]), ("$.f.ceiling()", [2]), ('$."n"', [7]), ("$.a[1, 0].b", [2, 1]),
+    ],
+)
+def test_json_paths(path, found):
+    assert P.Path(path).find({"a": [{"b": 1}, {"b": 2, "c": 0}, {"b": "x"}], "n": 7, "z": None, "f": 1.2}) == found
+
+
+def test_json_path_errors(spark):
+    for bad in ("$.", "$[", "$.a ? (", "a b", "$.a.nope()", "$x"):
+        with pytest.raises(P.PathError):
+            P.Path(bad)
+    with pytest.raises(P.PathError):
+        P.Path("strict $.b").find({"a": 1})
+    assert value(spark, P.path_exists(L('{"a":1}'), "strict $.b")) is None and value(spark, P.path_exists(L('{"a":1}'), "$.b")) is False
+    assert value(spark, P.path_query_first(L('{"a":[1,2]}'), "$.a[*] ? (@ > 1)")) == "2"
+
+
+def test_signatures(spark):
+    import base64
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+
+    def prime(bits):
+        while True:
+            p = rng.getrandbits(bits) | 1 | 3 << (bits - 2)
+            if (p - 1) % 65537 and all(pow(a, p - 1, p) == 1 for a in (2, 3, 5, 7, 11)):
+                return p
+
+    p, q = prime(512), prime(512)
+    n, d = p * q, pow(65537, -1, (p - 1) * (q - 1))
+    number = lambda v: (lambda b: b"\x02" + (bytes([len(b)]) if len(b) < 128 else b"\x81" + bytes([len(b)])) + b)(b"\0" + v.to_bytes((v.bit_length() + 7) // 8, "big"))
+    body = number(n) + number(65537)
+    pem = "-----BEGIN RSA PUBLIC KEY-----\n" + base64.encodebytes(b"\x30\x81" + bytes([len(body)]) + body).decode() + "-----END RSA PUBLIC KEY-----"
+    tail = K.SHA256_PREFIX + hashlib.sha256(b"hello").digest()
+    block = b"\0\1" + b"\xff" * (128 - len(tail) - 3) + b"\0" + tail
+    signature = base64.b64encode(pow(int.from_bytes(block, "big"), d, n).to_bytes(128, "big")).decode()
+    rows = spark.createDataFrame([(pem, "hello", signature), (pem, "hullo", signature), (pem, "hello", signature[4:]), ("junk", "hello", signature), (None, "a", "b")], "k string, t string, s string")
+    assert [r["v"] for r in rows.select(K.verify(F.col("k"), F.col("t"), F.col("s")).alias("v")).collect()] == [True, False, False, False, None]
