@@ -32,7 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = settled(neighbours.neighbours(docs), "groups-found")
     first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # one join strategy at every size: the ids grow with the documents
+    kept = docs.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not first.filter(F.col("rows") > 1).isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     if not found.filter(F.col("doc_id").isNull()).isEmpty():
