@@ -11,6 +11,7 @@ paragraph without any weighted n-gram has the probabilities of the bias, which a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ SAMPLE_DOCS, SAMPLE_LINES = 400, 1500
 #: Least calibrated probability, and least share of n-grams in common with a template of the family.
 PROBABILITY, RESEMBLANCE = 0.5, 0.6
 PENALTY, STEPS = 1e-3, 200
+#: N-grams in a greater share of the other lines tell nothing and are no features.
+COMMON = 0.01
 
 
 def _grams(text: str) -> list[str]:
@@ -70,7 +73,8 @@ def fit(others: list[str], templates: list[tuple[str, str]] = TEMPLATES, penalty
     rows = [(families.index(f), v) for f, t in templates for v in _variants(t)]
     rows += [(0, x) for x in [*OTHERS * 3, *others] if not any(len(t & set(_grams(x))) >= 0.8 * len(t) for t in known)]
     features = [_grams(x) for _, x in rows]
-    column = {g: i for i, g in enumerate(sorted({g for (c, _), own in zip(rows, features, strict=True) if c for g in own}))}
+    seen = Counter(g for x in others for g in _grams(x))
+    column = {g: i for i, g in enumerate(sorted({g for (c, _), own in zip(rows, features, strict=True) if c for g in own if seen[g] <= COMMON * len(others)}))}
     x, y = np.zeros((len(rows), len(column)), np.float32), np.array([c for c, _ in rows])
     for i, own in enumerate(features):
         x[i, [column[g] for g in own if g in column]] = 1
