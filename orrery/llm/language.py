@@ -46,11 +46,13 @@ def grams(part: np.ndarray, edges: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return code[inside], doc[:m][inside]
 
 
-def folded(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of texts in lower case, everything but letters as blanks."""
+def folded(texts: pa.Array, limit: int = 1 << 18, docs: int = 64) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of at most `docs` texts in lower case, everything but letters as blanks."""
     data, offsets = buffers(texts)
-    for low, high in slices(offsets, limit):
-        yield low, high, _FOLD[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
+    for first, last in slices(offsets, limit):
+        for low in range(first, last, docs):
+            high = min(low + docs, last)
+            yield low, high, _FOLD[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
 
 
 @dataclass

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orrery.llm import sketch
 from orrery.llm.components import components
 from orrery.llm.store import discard, settled, small_batches
-from orrery.llm.textscan import WHITE, Hasher, mix, scan, window_starts
+from orrery.llm.textscan import WHITE, Hasher, give_back, mix, scan, window_starts
 
 #: Words of a shingle; a text of fewer words is one shingle.
 WIDTH = 5
@@ -72,6 +72,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for rows, sets, edges in _sets(batch, width):
                 a, b = _digests(sets, edges)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(int(rows[0]), len(rows)), pa.array(np.diff(edges)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "set_a", "set_b"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
 
@@ -115,6 +116,7 @@ def _survivors(docs: DataFrame, classes: DataFrame, size: float, width: int, per
                 if some.any():
                     kept = [sets[a:b].tobytes() for a, b in zip(edges[:-1][some].tolist(), edges[1:][some].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "sets"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, sets binary").join(classes.select("doc_id"), "doc_id", "left_semi")
 

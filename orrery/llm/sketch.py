@@ -16,6 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from orrery.llm.textscan import give_back
+
 #: Cells of a block: 2**20 cells are merged by one call.
 BLOCK_BITS = 20
 #: Cells of a row, at most: 2**29 bits are 64 MB.
@@ -88,6 +90,8 @@ def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
                     held, size = [], 0
         if size:
             yield cells(np.concatenate(held), bits)
+        held.clear()
+        give_back()
 
     span = min(bits, BLOCK_BITS)
 

@@ -25,18 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from orrery.llm.store import AtomicFile, discard, new_path, open_fs, settled, small_batches
-from orrery.llm.textscan import Hasher, buffers, slices
+from orrery.llm.textscan import Hasher, buffers, give_back, slices
 
 MAGIC = b"ORRTOK1\n"
 HEADER = "<q?IQ"
 END_ID = 0
 #: Pieces of text that a worker remembers the ids of; then it starts anew. Speed only.
-CACHE = 1_000_000
-SLOT_BITS = 21
+CACHE = 300_000
+SLOT_BITS = 20
 #: Pieces of a string that the tokenizer gets.
 MANY = 4000
 #: Bytes of text encoded at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A, 0x0D, 0x09]] = True
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
                 small = ids.max() < 1 << 16
                 out.append((b"2" if small else b"4") + pack_ids.compress(ids.astype("<u2" if small else "<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
