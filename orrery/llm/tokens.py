@@ -31,12 +31,12 @@ MAGIC = b"ORRTOK1\n"
 HEADER = "<q?IQ"
 END_ID = 0
 #: Pieces of text that a worker remembers the ids of; then it starts anew. Speed only.
-CACHE = 300_000
-SLOT_BITS = 20
+CACHE = 1_000_000
+SLOT_BITS = 21
 #: Pieces of a string that the tokenizer gets.
 MANY = 4000
 #: Bytes of text encoded at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A, 0x0D, 0x09]] = True
