@@ -177,6 +177,15 @@ def test_licences(spark, empty):
     assert licences.licences(df.union(df), model=model).count() == 2 * len(rows)
 
 
+@pytest.mark.parametrize("family, notice", [TEMPLATES[0], TEMPLATES[4]])
+def test_licences_of_a_notice_in_many_lines(spark, family, notice):
+    rows = [(i, f"some words number {i} and more of them\n{notice}" if i % 3 == 0 else f"other words number {i} stand here") for i in range(60)]
+    rows += [(100 + i, f"one line of text {i} {notice}") for i in range(3)]
+    got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["families"] == [family]} == {i for i in range(60) if i % 3 == 0} | {100, 101, 102}
+    assert sum(r["n_paragraphs"] for r in got) == 23
+
+
 # 5
 
 
