@@ -60,6 +60,7 @@ def mix(
     epochs: int = EPOCHS,
     seed: int = 20,
     bucket_bits: int = BUCKET_BITS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """What a mix takes of each document.
 
@@ -70,7 +71,8 @@ def mix(
     null text has size 0; a null source is a source of its own, the last one. Rows
     that are alike in id, source and text are taken one after the other. Empty
     tables give no rows; all texts empty give targets of 0. Reruns agree, on any
-    partitioning, since keys depend on seed, id and text alone.
+    partitioning, since keys depend on seed, id and text alone. Columns named in
+    `carry` go along; they order rows that are otherwise alike.
     """
     key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     narrow = docs.select(
@@ -79,6 +81,7 @@ def mix(
         n_words(F.col(text)).alias("size"),
         key.alias("key"),
         F.shiftrightunsigned(key, 64 - bucket_bits).alias("bucket"),
+        *carry,
     )
     rows = settled(narrow, "mixing")  # the texts are read once
     name = F.when(F.col("source_key") != "", F.expr("substr(source_key, 2)")).alias("source")
@@ -87,28 +90,29 @@ def mix(
     whole = targets(sums.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")).select(name, "source_size"), weights, epochs)
     whole = whole.select("source_size", "target", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key"))
     buckets = sums.select("source_key", "bucket", (F.sum("bucket_size").over(ahead) - F.col("bucket_size")).alias("ahead")).join(whole, "source_key")
-    inside = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", *carry).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = rows.join(buckets, ["source_key", "bucket"]).select("doc_id", "key", name, "size", "source_size", "target", start.alias("start"))
+    placed = rows.join(buckets, ["source_key", "bucket"]).select("doc_id", "key", name, "size", "source_size", "target", start.alias("start"), *carry)
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - passes * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), "key")
+    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).alias("taken"), "key", *carry)
 
 
 def mixed(docs: DataFrame, seed: int = 20, **options: object) -> DataFrame:
     """The documents of the mix: whole ones once per pass, a cut one by its first words.
 
     Returns the columns of docs. A document that is not taken goes. The words of a
-    cut text are joined by single spaces. docs: doc_id, text, source; no two rows alike in id and text.
+    cut text are joined by single spaces. docs: doc_id, text, source, any of them null;
+    each row has takes of its own, also among rows that are alike.
     """
-    taken = mix(docs, seed=seed, **options).filter(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    keyed = settled(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # the key must not change between its two uses
+    taken = mix(keyed, seed=seed, carry=("_row",), **options).filter(F.col("taken") > 0).select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     size, took = F.col("_size"), F.col("_taken")
     whole = F.when(size > 0, F.floor(took / size)).otherwise(F.lit(0)).cast("int")
     cut = (took - whole * size).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
-    keyed = docs.withColumn("_own", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    rows = keyed.join(taken, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_cut", F.explode(copies))
+    rows = keyed.join(taken, "_row").withColumn("_cut", F.explode(copies))
     text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_cut"), F.lit(1))), " "))
     return rows.withColumn("text", text).select(*docs.columns)

@@ -388,6 +388,18 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mixed_with_repeated_rows_and_null_ids(spark):
+    rows = [(None, "a b c d e", "en", "s")] * 20 + [(1, "f g h", "en", "s")] * 5 + [(1, "f g h", "en", "t")] * 5 + [(2, None, "en", "t"), (None, "i j", "en", None)]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    want, got = {}, {}
+    for r in mixing.mix(df).collect():
+        want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+    for r in mixing.mixed(df).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(plain.white(r["text"]))
+    assert got == {s: n for s, n in want.items() if n}
+    assert got == {s: round(n) for s, n in shares({"s": 115, "t": 15, None: 2}).items()}
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 0, None: 1000}, {"a": 1}, {None: 0}, {"a": 1, "b": 1, "c": 1, "d": 500}, {"B": 30, "a": 5, "é": 70, "😀": 3}])
 def test_targets(spark, sizes):
     table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

@@ -54,5 +54,12 @@ def test_repeated_rows_and_no_labels(spark, folder):
     assert tokens.tokenize(docs).count() == 4 and plain.white("a b") == ["a", "b"]
 
 
+def test_mixing_repeated_rows(spark, folder):
+    docs = spark.createDataFrame([(None, "a b c", "en", "s", 5)] * 30 + [(1, "d e f", "en", "t", 5)] * 10, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = P.mix_sources(spark, docs, folder)
+    assert mixed.columns == docs.columns
+    assert sum(len(plain.white(r["text"])) for r in mixed.collect()) == 120
+
+
 def test_all_operators_are_registered():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
