@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.llm import decontaminate, language, mixing, neighbours, tokens
 from orrery.llm.quality import fold
-from orrery.llm.store import settled
+from orrery.llm.store import keyed, settled
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,25 +26,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: that with the least id.
+    """One document of each group of linked documents: that with the least id, or any if none has one.
 
-    Of rows alike in id and text one stays. Documents without an id are in no group and stay.
+    Rows are told apart by a key of their own, so repeated and null ids do no harm. Texts
+    without a shingle are in no group: of those alike in id and text one stays, and all without an id.
     """
-    found = settled(neighbours.neighbours(docs), "groups-found")
-    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    # one join strategy at every size: the ids grow with the documents
-    kept = docs.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if not first.filter(F.col("rows") > 1).isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    if not found.filter(F.col("doc_id").isNull()).isEmpty():
-        kept = kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = keyed(docs)
+    found = settled(neighbours.neighbours(rows, doc_id="_row"), "groups-found")
+    grouped = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
+    # one join strategy at every size: the keys grow with the documents
+    kept = rows.join(first.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    if not found.filter(F.col("n_shingles") == 0).isEmpty():
+        unnamed = F.col("doc_id").isNull()
+        kept = kept.filter(~unnamed).dropDuplicates(["doc_id", "text"]).unionByName(kept.filter(unnamed))
     return kept
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window. Those without an id stay: no result can name them."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a benchmark window, whether or not they have an id or share one."""
+    rows = keyed(docs)
+    found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_row")
+    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

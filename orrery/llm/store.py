@@ -15,7 +15,8 @@ import uuid
 import weakref
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _own: list[str] = []
 _paths: dict[int, str] = {}
@@ -48,6 +49,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df with a long in _row that tells its rows apart and stays the same whenever they are read.
+
+    A plain read of Parquet files has the file's number and the place in the file; any other table is written first.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        except AnalysisException:  # no Parquet files
+            placed = None
+        if placed is not None:
+            paths = sorted(x["_file"] for x in placed.select("_file").distinct().collect())
+            files = df.sparkSession.createDataFrame([(x, i << 40) for i, x in enumerate(paths)], "_file string, _first long")
+            return placed.join(F.broadcast(files), "_file").select(*df.columns, (F.col("_first") + F.col("_place")).alias("_row"))  # a row per file
+    return settled(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 16 MB, where the session leaves Spark's default of 64 MB: Python workers stay small."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":

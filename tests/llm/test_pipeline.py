@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 import plain
-from orrery.llm import tokens
+from orrery.llm import store, tokens
 from orrery.llm.queries import QUERIES
 
 
@@ -54,6 +54,31 @@ def test_repeated_rows_and_no_labels(spark, folder):
     assert tokens.tokenize(docs).count() == 4 and plain.white("a b") == ["a", "b"]
 
 
+def test_filters_of_rows_without_ids_and_of_repeated_ids(spark, folder):
+    text = " ".join(f"word{i}" for i in range(60))
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(None, text), (None, text), (None, text + " more"), (None, "bare"), (None, ""), (None, ""), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = P.drop_near_copies(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in kept.collect()) == [(0, ""), (0, ""), (0, "bare"), (0, "word0"), (5, "")]
+    assert [r["doc_id"] for r in P.drop_near_copies(spark, docs.limit(0).unionByName(docs.filter("text like 'word0%'")).withColumn("doc_id", F.when(F.col("text").endswith("more"), 9)), folder).collect()] == [9]
+    rows = [(None, f"before {item} after"), (None, text), (7, item), (7, text)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    kept = P.drop_benchmark_text(spark, docs, folder).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, text), (7, text)]
+
+
+def test_keyed(spark, tmp_path):
+    spark.range(1000).select(F.lit("x").alias("text")).repartition(3).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    for df, n in ((read, 1000), (read.join(spark.range(2)), 2000), (read.limit(0), 0), (spark.range(7).toDF("text"), 7)):
+        rows = store.keyed(df)
+        assert rows.columns == [*df.columns, "_row"]
+        first = {r["_row"] for r in rows.collect()}
+        assert len(first) == n and first == {r["_row"] for r in rows.select("_row").collect()}
+
+
 def test_mixing_repeated_rows(spark, folder):
     docs = spark.createDataFrame([(None, "a b c", "en", "s", 5)] * 30 + [(1, "d e f", "en", "t", 5)] * 10, "doc_id long, text string, lang string, source string, n_chars long")
     mixed = P.mix_sources(spark, docs, folder)
