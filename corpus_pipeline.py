@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without a shingle are in no group: of those alike in id and text one stays, and all without an id.
     """
     rows = keyed(docs)
-    found = settled(neighbours.neighbours(rows, doc_id="_row"), "groups-found")
+    found = settled(neighbours.neighbours(rows, doc_id="_row", row="_row"), "groups-found")
     grouped = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
     first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
     # one join strategy at every size: the keys grow with the documents

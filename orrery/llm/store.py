@@ -14,9 +14,13 @@ import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Bytes of text that an operator handles at once, about.
+PORTION = 8 << 20
 
 _own: list[str] = []
 _paths: dict[int, str] = {}
@@ -39,37 +43,51 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here."""
+def settled(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends here.
+
+    release: let Spark's cleaner delete the shuffle files of what made the table. It does so
+    for shuffles that the driver's garbage collector has found unreachable, so this asks for a collection.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if release:
+        df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
     return out
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """df with a long in _row that tells its rows apart and stays the same whenever they are read.
+def keyed(df: DataFrame, *columns: Column, name: str = "_row") -> DataFrame:
+    """Columns of df (by default all), and a long that tells its rows apart and stays the same whenever they are read.
 
     A plain read of Parquet files has the file's number and the place in the file; any other table is written first.
     """
+    chosen = columns or tuple(F.col(f"`{c}`") for c in df.columns)
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         try:
-            placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+            placed = df.select(*chosen, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
         except AnalysisException:  # no Parquet files
             placed = None
         if placed is not None:
-            paths = sorted(x["_file"] for x in placed.select("_file").distinct().collect())
-            files = df.sparkSession.createDataFrame([(x, i << 40) for i, x in enumerate(paths)], "_file string, _first long")
-            return placed.join(F.broadcast(files), "_file").select(*df.columns, (F.col("_first") + F.col("_place")).alias("_row"))  # a row per file
-    return settled(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+            paths = sorted(x["__file"] for x in df.select(F.col("_metadata.file_path").alias("__file")).distinct().collect())  # a row per file
+            files = df.sparkSession.createDataFrame(pa.table({"__file": pa.array(paths, pa.string()), "__first": pa.array([i << 40 for i in range(len(paths))], pa.int64())}))
+            kept = [c for c in placed.columns if c not in ("__file", "__place")]
+            return placed.join(F.broadcast(files), "__file").select(*(F.col(f"`{c}`") for c in kept), (F.col("__first") + F.col("__place")).alias(name))
+    return settled(df.select(*chosen, F.monotonically_increasing_id().alias(name)), "rows")
+
+
+def in_portions(rows: DataFrame, size: int, portion: int = PORTION, row: str = "_row") -> DataFrame:
+    """rows with `portion`, a number that spreads them evenly; size: bytes of all, portion: bytes of each, about."""
+    return rows.withColumn("portion", F.pmod(F.xxhash64(row), F.lit(size // portion + 1)).cast("int"))
 
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 16 MB, where the session leaves Spark's default of 64 MB: Python workers stay small."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).removesuffix("b") in (str(64 << 20), "64m"):
+        spark.conf.set(name, "16m")
 
 
 def discard(*tables: DataFrame) -> None:

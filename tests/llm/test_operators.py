@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,10 +116,10 @@ def test_warc_damage_is_found():
 # 2
 
 
-@pytest.mark.parametrize("width,bits,group", [(13, 29, 1_000_000), (4, 29, 500), (4, 16, 2000)])
-def test_remove_repeats(docs, width, bits, group):
+@pytest.mark.parametrize("width,portion,group", [(13, 8 << 20, 1_000_000), (4, 4000, 500), (4, 100_000, 2000)])
+def test_remove_repeats(docs, width, portion, group):
     want = plain.repeats(texts(), width)
-    got = substrings.remove_repeats(docs, width=width, max_bits=bits, group=group).collect()
+    got = substrings.remove_repeats(docs, width=width, portion=portion, group=group).collect()
     assert len(got) == len(want)
     for r in got:
         words, gone = want[r["doc_id"]]
@@ -135,12 +136,35 @@ def test_remove_repeats_edges(spark, empty):
     assert got == [(1, 0), (1, 0), (2, 20), (99, 20)]
 
 
-def test_sketch_loses_nothing():
+def test_gaps_round_trip():
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        gaps = np.unique(rng.integers(0, 1 << 20, 300))
-        assert (sketch.unpack_gaps(sketch.pack_gaps(gaps)) == gaps).all()
-    assert sketch.pack_gaps(np.array([0, 255, 510, 511])) and (sketch.unpack_gaps(sketch.pack_gaps(np.array([0, 255, 510, 511]))) == [0, 255, 510, 511]).all()
+    for top in (300, 1 << 20, 1 << 33):
+        runs = [np.unique(rng.integers(0, top, n)) for n in (1, 300, 0, 7, 2000) if n]
+        whole, sizes = np.concatenate(runs), np.array([len(x) for x in runs])
+        packed = sketch.pack_gaps(whole, np.cumsum(sizes) - sizes)
+        assert (sketch.unpack_gaps(packed, sizes) == whole).all()
+
+
+@pytest.mark.parametrize("bits", [16, 21, 40])
+def test_sketch_loses_nothing(spark, bits):
+    """Counts of merged sketches are never too small, agree between portions, and are seldom too large."""
+    rng = np.random.default_rng(bits)
+    portions = [rng.integers(0, 2000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (1, 900, 0, 1500)] + [rng.integers(0, 1 << 64, 3000, dtype=np.uint64)]
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(portions)], "portion int, hashes binary")
+
+    def outline(own):
+        return sketch.cells(np.frombuffer(own["hashes"][0].as_py(), np.uint64), own["portion"][0].as_py(), bits)
+
+    answers = sketch.merged(rows.groupBy("portion").applyInArrow(outline, sketch.CELLS_DDL), bits, levels=True).toArrow()
+    values, counts = np.unique(np.concatenate(portions), return_counts=True)
+    want = np.ceil(np.log2(counts))
+    seen = {}
+    for i, own in enumerate(portions):
+        got = sketch.levels(own, answers.filter(pc.equal(answers["portion"], i)), bits)
+        least = want[np.searchsorted(values, own)]
+        assert (got >= least).all() and (got > least).mean() < (0.3 if bits == 16 else 0.01) if len(own) else not len(got)
+        for h, level in zip(own.tolist(), got.tolist(), strict=True):
+            assert seen.setdefault(h, level) == level
 
 
 # 3
@@ -300,7 +324,7 @@ def test_cascade_order_does_not_change_the_verdict():
 @pytest.mark.parametrize("group,percent", [(100_000, 75), (40, 75), (40, 50)])
 def test_neighbours(docs, group, percent):
     want = plain.components(texts(), percent=percent)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neighbours.neighbours(docs, group_shingles=group, percent=percent).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neighbours.neighbours(docs, group_shingles=group, percent=percent, portion=20_000).collect()}
     assert got == want
 
 
@@ -319,7 +343,7 @@ def test_neighbours_of_chains_and_hot_groups(spark):
         w[rng.randrange(80)] = f"v{rng.randrange(10)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neighbours.neighbours(df, group_shingles=300, rarity_bits=16).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neighbours.neighbours(df, group_shingles=300, portion=2000).collect()}
     assert got == plain.components(rows)
 
 
@@ -330,6 +354,15 @@ def test_neighbours_edges(spark, empty):
     assert got == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4)]
 
 
+def test_bound_of_unions():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(2))
+        x, y = (neighbours._bitmap(t, int(rng.integers(6, 12))) for t in (a, b))
+        assert len(np.intersect1d(a, b)) <= neighbours.bound(x, len(a), y, len(b)) <= min(len(a), len(b))
+    assert neighbours.bound(neighbours._bitmap(a, 11), len(a), neighbours._bitmap(a + np.uint64(1000), 11), len(a)) < 0.5 * len(a)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)]
