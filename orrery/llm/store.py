@@ -43,6 +43,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name like that which no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bernoulli(key: Column, rows: int, sample: int) -> Column:
+    """True for about `sample` of so many rows, by a hash of `key`: no sort, no shuffle, the same on any partitioning."""
+    share = min(1.0, sample / max(1, rows))
+    return F.lit(True) if share >= 1 else F.pmod(key, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
 def settled(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here.
 
@@ -127,5 +141,12 @@ class AtomicFile:
         self.size += len(data)
 
     def commit(self) -> None:
+        """Give the file its name. Where another attempt of the task was first, its file stays if it is as long."""
         self.stream.close()
+        there = self.fs.get_file_info(self.final)
+        if there.type == pafs.FileType.File and there.size == self.size:
+            self.fs.delete_file(self.temp)
+            return
+        if there.type == pafs.FileType.File:
+            self.fs.delete_file(self.final)
         self.fs.move(self.temp, self.final)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from orrery.llm.store import AtomicFile, discard, new_path, open_fs, settled, small_batches
+from orrery.llm.store import AtomicFile, discard, keyed, new_path, open_fs, settled, small_batches
 from orrery.llm.textscan import Hasher, buffers, give_back, slices
 
 MAGIC = b"ORRTOK1\n"
@@ -88,7 +88,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hasher = Hasher(77)
+        self.hasher, self.other = Hasher(77), Hasher(78)
         special = {i: len(x.content.encode()) for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)  # a character stands for each byte
         self.bytes = np.zeros(1 + max([0, *vocabulary.values(), *special]), np.int64)
@@ -97,9 +97,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """Remember nothing. slot: of a piece's hash; key, first, size: of what stands there."""
+        """Remember nothing. slot: of a piece's hash; key, check (a second hash), first, size: of what stands there."""
         self.slot = np.zeros(1 << SLOT_BITS, np.int32)
-        self.key, self.first, self.size = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.key, self.check, self.first, self.size = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def _encoded(self, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +121,11 @@ class Encoder:
             raise ValueError("the tokenizer is not a byte-level one")
         return ids, np.diff(np.searchsorted(past, edges, "right"))
 
-    def _learn(self, keys: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> None:
         ids, size = self._encoded(start, end, data)
         place = np.arange(len(self.key), len(self.key) + len(keys))
         self.slot[keys >> np.uint64(64 - SLOT_BITS)] = place
-        self.key = np.concatenate([self.key, keys])
+        self.key, self.check = np.concatenate([self.key, keys]), np.concatenate([self.check, checks])
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, ids])
@@ -142,17 +142,19 @@ class Encoder:
             end = np.append(start[1:], len(part))[: len(start)]
             keys = self.hasher.spans(part, start, end) + (end - start).astype(np.uint64)
             keys[keys == 0] = 1  # 0 stands for nothing
+            checks = self.other.spans(part, start, end)  # a piece is known by 128 bits
             if len(self.key) > CACHE:
                 self.clear()
             place = self.slot[keys >> np.uint64(64 - SLOT_BITS)]
-            unknown = np.flatnonzero(self.key[place] != keys)
+            unknown = np.flatnonzero((self.key[place] != keys) | (self.check[place] != checks))
             if len(unknown):
                 own = keys[unknown]
-                order = np.argsort(own)
+                second = checks[unknown]
+                order = np.lexsort((second, own))
                 new = np.ones(len(order), bool)
-                new[1:] = own[order][1:] != own[order][:-1]
+                new[1:] = (own[order][1:] != own[order][:-1]) | (second[order][1:] != second[order][:-1])
                 at, before = unknown[order[new]], len(self.key)
-                self._learn(keys[at], start[at], end[at], part)
+                self._learn(keys[at], checks[at], start[at], end[at], part)
                 place[unknown[order]] = before + np.cumsum(new) - 1
             size = self.size[place]
             ids = self.ids[_runs(size, self.first[place])]
@@ -200,7 +202,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens and packed ids of each row, the end id included. A null text has the end id alone."""
+    """doc_id, n_tokens, packed ids and their crc32 of each row, the end id included. A null text has the end id alone."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,16 +211,18 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
             encoder = encoder_of(path)
             out: list[bytes] = []
             counts: list[int] = []
+            marks: list[int] = []
             for ids in encoder.encode(batch.column(1)):
                 ids = np.append(ids, np.uint32(end_id))
                 counts.append(len(ids))
                 small = ids.max() < 1 << 16
+                marks.append(zlib.crc32(ids))
                 out.append((b"2" if small else b"4") + pack_ids.compress(ids.astype("<u2" if small else "<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.array(marks, pa.int64())], ["doc_id", "n_tokens", "ids", "mark"])
         give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, mark long")
 
 
 def _ids(blob: bytes, unpacker: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -272,7 +276,8 @@ def write(docs: DataFrame, **options: Any) -> tuple[DataFrame, np.ndarray]:
             out.commit()
             yield pa.RecordBatch.from_pydict({"at": [at], "uri": [out.uri], "docs": [n], "tokens": [tokens]})
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows without an id or with one id are dealt over ranges too, by what they hold and then by their place
+    ordered = keyed(encoded).repartitionByRange("doc_id", "mark", "_row").sortWithinPartitions("doc_id", "mark", "_row")
     manifest = settled(ordered.mapInArrow(run, "at long, uri string, docs long, tokens long"), "token-files")
     discard(encoded)
     table = AtomicFile(folder, "ids-by-rank.u4")
@@ -327,6 +332,7 @@ def tokenize(docs: DataFrame, **options: Any) -> DataFrame:
     docs needs an id and a text; other columns are ignored. Result: one row per row
     of docs, in files of ascending doc_id: doc_id, start (ids of all documents
     before it), n_tokens (the end id included), ids_crc32. A null or empty text has
-    one id. Rows of one id follow each other; a null id comes first. An empty table gives no rows.
+    one id; a long one is encoded piece by piece. Rows of one id follow each other, in an order that their ids fix; a null id comes first. Equally
+    frequent ids are numbered in ascending order. An empty table gives no rows.
     """
     return read(*write(docs, **options))
