@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orrery.llm.store import settled
+from orrery.llm.store import discard, keyed, settled
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window; an item of fewer is one window.
@@ -49,14 +49,17 @@ def prefixes(spans: DataFrame, docs: DataFrame, text: str, limit: int) -> DataFr
     return place.groupBy("window").agg(rarest.alias("rarest")).join(spans, "window").select(F.col("rarest.word").alias("token"), F.col("rarest.offset").alias("offset"), "window", "length", "items")
 
 
-def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, broadcast_bytes: int = BROADCAST_BYTES, row: str | None = None) -> DataFrame:
     """One row per occurrence of a window, and one more per row of docs.
 
     Columns: doc_id, row (tells apart rows of one id), n_words, start, length,
-    items; the last three are null in the extra rows.
+    items; the last three are null in the extra rows. row: a long column of docs that tells
+    its rows apart and is the same at each read, if there is one.
     """
     table = settled(prefixes(windows(items, item_id, item_text, width), docs, text, broadcast_bytes), "prefixes")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("words"))
+    own = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")]
+    rows = docs.select(*own, F.col(row).alias("row")) if row else keyed(docs, *own, name="row")
+    rows = rows.select("doc_id", "row", words(F.col("text")).alias("words"))
     spread = rows.select("doc_id", "row", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
     size = sum((F.octet_length(F.array_join(c, " ")) * 2 + 64 for c in ("window", "items")), F.octet_length("token"))
     start = (F.col("pos") - F.col("offset")).alias("start")
@@ -82,7 +85,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options: object) -> DataF
     docs needs an id and a text, items an id and a text; other columns are ignored.
     Result: one row per row of docs: doc_id, n_words, n_hit (words inside an
     occurrence of a window), n_items, item_ids (sorted as strings), contaminated. A
-    null or empty text has no words. Items without words match nothing; items that
+    null or empty text has no words; a long one is read whole. Items without words match nothing; items that
     repeat one id count once. An empty docs gives no rows; without items nothing
     is hit. Occurrences may overlap; each word counts once.
     """
