@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from orrery.llm.quality import fold
-from orrery.llm.store import small_batches
+from orrery.llm.store import keyed, small_batches
 from orrery.llm.textscan import LOWER, buffers, slices
 
 LENGTHS = (2, 3, 4)
 #: Texts per language that are learned from, and those of them that are landmarks.
 SAMPLE, LANDMARKS = 240, 40
+#: Longer texts are not learned from; all are judged, whole.
+SAMPLE_BYTES = 1 << 16
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -105,17 +107,20 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     return model
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
+def train(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, landmarks: int = LANDMARKS, most_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Learn from at most `sample` documents per language, chosen by a hash of the id.
 
-    docs: doc_id, text, lang; rows where one is null are left out. None without any.
+    docs: doc_id, text, lang; rows where one is null, those that `where` rules out, and texts of no or more than `most_bytes` bytes are left out.
+    None without any. Rows of one id are chosen each by itself. So the driver gets `sample` texts of bounded
+    length for each value of lang.
     """
     small_batches(docs.sparkSession)
-    known = docs.select("doc_id", "text", "lang").dropna().filter(F.length("text") > 0)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("_n", first).filter(F.col("_n") <= sample).select("doc_id", "_n")
-    rows = sorted(known.join(F.broadcast(ids), "doc_id").select("_n", "doc_id", "text", "lang").collect())  # `sample` per language
-    return fit([x["text"] for x in rows], [x["lang"] for x in rows], landmarks) if rows else None
+    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang"))
+    known = (rows if where is None else rows.filter(where)).dropna().filter(F.octet_length("text").between(1, most_bytes))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_row"))
+    chosen = known.select("_row", "doc_id", "lang").withColumn("_n", first).filter(F.col("_n") <= sample).select("_row", "_n")
+    found = sorted((x["_n"], x["doc_id"], x["text"], x["lang"]) for x in known.join(F.broadcast(chosen), "_row").collect())
+    return fit([x[2] for x in found], [x[3] for x in found], landmarks) if found else None
 
 
 def _lettered(text: str) -> bool:
@@ -152,26 +157,26 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score, as identify(); all its columns go through."""
+def label(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the columns lang_pred and score (by those names), as identify(); all its columns go through."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, names, best in _judged(shared.value, batch.column(at)):
+            for low, high, found, best in _judged(shared.value, batch.column(at)):
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(best)], [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(best)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def classify(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
     """Languages of all documents, learned outside one fold.
 
     One row per row of docs: doc_id, held_out, lang_pred, score. Extra columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows. A null or letterless text is `und`; a long one is judged whole. Of
+    languages that score alike the first by name is taken. Rows of one id are judged each by itself.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = train(rows.filter(fold(F.col("doc_id"), folds) != held), sample, landmarks)
-    found = identify(rows, model)
+    model = train(docs, fold(F.col("doc_id"), folds) != held, sample, landmarks)
+    found = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return found.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")

@@ -14,14 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from orrery.llm.store import small_batches
+from orrery.llm.store import bernoulli, small_batches
 from orrery.llm.textscan import Hasher, Words, mix, scan
 
 BITS = 18
 #: Labelled documents that are learned from, at most.
 SAMPLE = 6000
+#: Longer texts are not learned from; all are scored, whole.
+SAMPLE_BYTES = 1 << 16
 EPOCHS = 3
 THRESHOLD = 0.3
 
@@ -99,14 +101,19 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, ep
     return Model(weights(np.arange(1 << bits)).astype(np.float32), float(bias), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, sample: int = SAMPLE) -> Model:
-    """Learn from labelled documents: at most `sample` of them, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from labelled documents: about `sample` of them, chosen by a hash of the id.
 
     docs: doc_id, text; labels: doc_id and a label of 0 or 1. Rows without a label
-    or an id are left out. Without labels every score is 0.5.
+    or an id, and texts of more than `most_bytes` bytes, are left out; of rows (and labels) of one id one counts. Without labels every score is 0.5.
+    Documents are learned from in the order of a hash of the id.
     """
-    chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().orderBy(F.xxhash64("doc_id"), "label").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of `sample` rows at most
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
+    some = known.filter(bernoulli(F.xxhash64("doc_id"), labels.count(), sample)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes)
+    met = own.join(F.broadcast(some), "doc_id")  # of about `sample` rows
+    # a task sends one row of an id at most
+    rows = met.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).filter("_n = 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(31)
@@ -122,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int
                 lists = [pa.ListArray.from_arrays(bound, x) for x in (pa.array((key & np.uint64((1 << bits) - 1)).astype(np.int32)), pa.array(value.astype(np.float32)))]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(words.low, words.docs) for i in (0, 2)] + lists, ["doc_id", "label", "bucket", "value"])
 
-    found = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").mapInArrow(run, "doc_id long, label int, bucket array<int>, value array<float>").toArrow()
+    found = rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, bucket array<int>, value array<float>").toArrow()
     order = np.lexsort((found["label"].to_numpy(), mix(found["doc_id"].to_numpy().astype(np.uint64))))
     bucket, value, label_of = found["bucket"].combine_chunks(), found["value"].combine_chunks(), found["label"].to_numpy()
     examples = [(bucket[i].values.to_numpy(), value[i].values.to_numpy().astype(float), int(label_of[i])) for i in order.tolist()]
@@ -147,14 +154,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             for low, high, found in shared.value.scores(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE) -> DataFrame:
     """Scores of all documents, learned from the labels outside one fold.
 
     One row per row of docs: doc_id, held_out, score, predicted. Extra columns are
-    ignored; empty tables give no rows.
+    ignored; empty tables give no rows. A null or empty text has the score of the bias; a long one is scored whole.
+    Rows of one id are scored each by itself.
     """
     known = labels.filter(fold(F.col("doc_id"), folds) != 0)
     small_batches(docs.sparkSession)

@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.store import small_batches
+from orrery.llm.store import bernoulli, small_batches
 from orrery.llm.textscan import Hasher, Words, mix, scan, window_starts
 
 WIDTH = 5
 #: Documents on which costs and rejections are estimated.
 SAMPLE = 500
+#: Longer texts are not among them; all are judged, whole.
+SAMPLE_BYTES = 1 << 20
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[*b"#*$%&|<>"]] = 1
@@ -162,9 +164,12 @@ def _slices(texts: pa.Array) -> Iterator[tuple[Words, np.ndarray]]:
 
 
 def plan(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Order of the rules, from their costs and rejections on `sample` documents chosen by a hash of the id."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample)
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("text").limit(2 * sample).toArrow()
+    """Order of the rules, from their costs and rejections on about `sample` documents chosen by a hash of id and text.
+
+    The order is all that the sample decides, so the longest texts (over SAMPLE_BYTES) may be left out of it.
+    """
+    chosen = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).filter(bernoulli(F.xxhash64("doc_id", F.octet_length("text")), docs.count(), sample))
+    rows = chosen.select("text").limit(2 * sample).toArrow()
     cost, bad, seen = dict.fromkeys(RULES, 1e-9), dict.fromkeys(RULES, 0), 0
     hasher = Hasher(43)
     for words, edges in _slices(rows["text"].combine_chunks()):
@@ -173,7 +178,9 @@ def plan(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
         seen += c.words.docs
         for name, rule in RULES.items():
             began = time.perf_counter()
-            bad[name] += int(rule(c).sum())
+            rejected = rule(c)
+            bad[name] += int(rejected.sum())
+            _subset(c, ~rejected)  # what a rejection costs belongs to the rule
             cost[name] += time.perf_counter() - began
     return sorted(RULES, key=lambda x: (-(bad[x] + 0.5) / (seen + 1) / cost[x], x))
 
@@ -183,7 +190,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
 
     docs needs an id and a text; other columns are ignored. Result: doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. A null or empty text
-    has counts of 0 and fails. Rows are judged each by itself, so repeated rows agree; an empty table gives no rows.
+    has counts of 0 and fails; a long one is counted whole. Rows are judged each by itself, so repeated rows agree; an empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
