@@ -5,23 +5,40 @@ TEMPLATES: list[tuple[str, str]] = [
     ("mit", "This project is licensed under the terms of the MIT license."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("mit", "Dual licensed under the MIT and GPL licenses."),
+    ("mit", "Licensed under the MIT license."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "SPDX-License-Identifier: Apache-2.0"),
+    ("apache", "Released under the Apache 2.0 license."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("bsd", "This software is released under the 3-clause BSD License."),
+    ("bsd", "Released under the BSD License."),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
     ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl", "This is licensed under GPLv2."),
+    ("gpl", "Licensed under the GPL version 2 or later."),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"),
     ("lgpl", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("agpl", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("epl", "Eclipse Public License 2.0"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl", "SPDX-License-Identifier: EPL-2.0"),
+    ("mpl", "SPDX-License-Identifier: MPL-2.0"),
     ("mpl", "Licensed under the Mozilla Public License, version 2.0."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("isc", "Released under the ISC License."),
+    ("isc", "SPDX-License-Identifier: ISC"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by", "Licensed under CC BY 4.0."),

@@ -1,10 +1,11 @@
 """Licence scans, in DataFrame operations only.
 
 A multinomial logistic regression over words and word pairs, kept sparse by an L1
-penalty, says of each paragraph (a line) which licence family it belongs to or that it
-is none (`unknown`); its probabilities are calibrated on examples set apart. What it
-predicts counts only if the paragraph also resembles a template of that family. The model is small and
-is learned on the driver from the templates and a bounded sample of paragraphs; a
+penalty, says of each paragraph which licence family it belongs to or that it
+is none (`unknown`); its probabilities are calibrated on templates that the fit did not see. What it
+predicts counts only if the paragraph also resembles a template of that family. A paragraph is a line, and
+where lines are not enough by themselves, as in wrapped notices, a run of adjacent ones: their n-grams' weights add up. The model is small and
+is learned on the driver from the templates and a bounded sample of lines; a
 paragraph without any weighted n-gram has the probabilities of the bias, which are those of `unknown`.
 """
 
@@ -14,16 +15,21 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.llm.licence_texts import OTHERS, TEMPLATES
+from orrery.llm.store import bernoulli, keyed, settled
 
 WORD = r"[A-Za-z0-9]+(?:[.-][0-9A-Za-z]+)*"
 UNKNOWN = "unknown"
-#: Documents whose paragraphs stand for `unknown`, and paragraphs taken of them, at most.
-SAMPLE_DOCS, SAMPLE_LINES = 400, 1500
-#: Least calibrated probability, and least share of n-grams in common with a template of the family.
+#: Documents whose lines stand for `unknown` (about), lines taken of them at most, and characters of a line.
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 400, 1500, 2000
+#: Parts that the templates of each family are dealt into for calibration.
+FOLDS = 3
+#: Least calibrated probability of a licence (of any family), and least share of n-grams in common with a template of the likeliest.
 PROBABILITY, RESEMBLANCE = 0.5, 0.6
+#: Of a paragraph with fewer n-grams, the share is of so many (or of the template's, if these are fewer): five words.
+LEAST_GRAMS = 9
 PENALTY, STEPS = 1e-3, 200
 
 
@@ -63,90 +69,142 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(others: list[str], templates: list[tuple[str, str]] = TEMPLATES, penalty: float = PENALTY, steps: int = STEPS) -> Model:
-    """Learn from templates and other lines; those that contain a template are left out."""
-    families = [UNKNOWN, *sorted({f for f, _ in templates})]
-    known = [set(_grams(t)) for _, t in templates]
-    rows = [(families.index(f), v) for f, t in templates for v in _variants(t)]
-    rows += [(0, x) for x in [*OTHERS * 3, *others] if not any(len(t & set(_grams(x))) >= 0.8 * len(t) for t in known)]
-    features = [_grams(x) for _, x in rows]
-    column = {g: i for i, g in enumerate(sorted({g for (c, _), own in zip(rows, features, strict=True) if c for g in own}))}
-    x, y = np.zeros((len(rows), len(column)), np.float32), np.array([c for c, _ in rows])
-    for i, own in enumerate(features):
-        x[i, [column[g] for g in own if g in column]] = 1
-    weight = 1 / np.bincount(y, minlength=len(families))[y]
-    held = np.arange(len(rows)) % 4 == 3
-    weight = (weight / weight[~held].sum()).astype(np.float32)
-    goal = np.eye(len(families), dtype=np.float32)[y]
-    w, b = np.zeros((len(column), len(families)), np.float32), np.zeros(len(families), np.float32)
+def _alike(y: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Weights of rows: classes weigh alike, and inside a class the texts that its rows come from."""
+    weight = 1.0 / np.bincount(source)[source]
+    return (weight / np.bincount(y, weight)[y]).astype(np.float32)
+
+
+def _descend(x: np.ndarray, y: np.ndarray, source: np.ndarray, classes: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by proximal gradient steps with momentum."""
+    weight = _alike(y, source)
+    weight = (weight / weight.sum())[:, None]
+    goal = np.eye(classes, dtype=np.float32)[y]
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
     b[0] = 3.0
     ahead, ahead_b, t = w, b, 1.0
-    xt, wt = x[~held], weight[~held, None]
-    rate = 4.0 / max(1e-9, float((wt * (xt * xt).sum(axis=1, keepdims=True)).sum()) + 1)
-    for _ in range(steps):  # proximal gradient steps with momentum
-        gap = wt * (_softmax(xt @ ahead + ahead_b) - goal[~held])
-        new = ahead - rate * (xt.T @ gap)
+    rate = 4.0 / max(1e-9, float((weight * (x * x).sum(axis=1, keepdims=True)).sum()) + 1)
+    for _ in range(steps):
+        gap = weight * (_softmax(x @ ahead + ahead_b) - goal)
+        new = ahead - rate * (x.T @ gap)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         new_b, later = ahead_b - rate * gap.sum(axis=0), (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_b = new + (t - 1) / later * (new - w), new_b + (t - 1) / later * (new_b - b)
         w, b, t = new, new_b, later
-    logits = x[held] @ w + b
+    b[0] = max(b[0], b[1:].max() + 1)  # without any weighted n-gram a paragraph is unknown
+    return w, b
+
+
+def fit(others: list[str], templates: list[tuple[str, str]] = TEMPLATES, penalty: float = PENALTY, steps: int = STEPS, folds: int = FOLDS) -> Model:
+    """Learn from templates and other lines; of these, what resembles a template or is a part of one is left out.
+
+    The temperature is chosen for models that miss a part of each family's templates, on all variants of that
+    part; the model itself has seen all.
+    """
+    families = [UNKNOWN, *sorted({f for f, _ in templates})]
+    known = [set(_grams(t)) for _, t in templates]
+
+    def licence(own: set[str]) -> bool:
+        return any(len(t & own) >= 0.8 * min(len(t), max(len(own), 9)) for t in known)
+
+    nth: dict[str, int] = {}
+    rows: list[tuple[int, int, int, str]] = []  # class, fold, number of the text it comes from, text
+    for i, (f, t) in enumerate(templates):
+        rows += [(families.index(f), nth.get(f, 0) % folds, i, v) for v in _variants(t)]
+        nth[f] = nth.get(f, 0) + 1
+    rows += [(0, i % folds, len(templates) + i, x) for i, x in enumerate(x for x in [*OTHERS * 3, *others] if not licence(set(_grams(x))))]
+    features = [_grams(x) for *_, x in rows]
+    column = {g: i for i, g in enumerate(sorted({g for (c, *_), own in zip(rows, features, strict=True) if c for g in own}))}
+    x, (y, part, source) = np.zeros((len(rows), len(column)), np.float32), (np.array([r[k] for r in rows]) for k in range(3))
+    for i, own in enumerate(features):
+        x[i, [column[g] for g in own if g in column]] = 1
+    logits, truth = [], []
+    for k in range(folds):
+        w, b = _descend(x[part != k], y[part != k], source[part != k], len(families), penalty, steps)
+        logits.append(x[part == k] @ w + b)
+        truth.append(np.flatnonzero(part == k))
+    held, at = np.concatenate(logits), np.concatenate(truth)
+    right, share = y[at], _alike(y[at], source[at])
 
     def loss(heat: float) -> float:
-        return float(-(weight[held] * np.log(_softmax(logits / heat)[np.arange(len(logits)), y[held]] + 1e-9)).sum())
+        return float(-(share * np.log(_softmax(held / heat)[np.arange(len(held)), right] + 1e-9)).sum())
 
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
-    # without any weighted n-gram a paragraph is unknown
-    b[0] = max(b[0], b[1:].max() + 1)
+    w, b = _descend(x, y, source, len(families), penalty, steps)
     found = {g: [float(v) for v in w[i]] for g, i in column.items() if np.abs(w[i]).max() > 1e-3}
     return Model(families, found, [float(v) for v in b], heat)
 
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model:
-    """fit() with lines of at most `sample_docs` documents, chosen by a hash of the id."""
-    chosen = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("_at"))
-    kept = chosen.orderBy("_at").limit(sample_docs).select("_at", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") > 0)
-    return fit([x["line"] for x in kept.orderBy(F.xxhash64("line"), "line").limit(sample_lines).collect()])
+    """fit() with lines of about `sample_docs` documents, chosen by a hash of id and length, and of each line its beginning.
+
+    No text leaves its task: only lines do, at most `sample_lines` of SAMPLE_CHARS characters from each.
+    """
+    chosen = docs.filter(bernoulli(F.xxhash64(F.col(doc_id), F.length(F.col(text))), docs.count(), sample_docs))
+    lines = chosen.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(F.substring("line", 1, SAMPLE_CHARS).alias("line")).filter(F.length("line") > 0)
+    return fit([x["line"] for x in lines.orderBy(F.xxhash64("line"), "line").limit(sample_lines).collect()])
+
 
+def _judged(summed: DataFrame, model: Model, *keys: str) -> DataFrame:
+    """With family (the likeliest that is not unknown) and probability (that it is not unknown), from sums of weights (w0, w1, ...)."""
+    logits = [(F.col(f"w{i}") + F.lit(b)) / F.lit(model.heat) for i, b in enumerate(model.bias)]
+    best = F.greatest(*(F.struct(x.alias("logit"), F.lit(f).alias("family")) for x, f in zip(logits[1:], model.families[1:], strict=True)))
+    known, none = sum((F.exp(x - F.col("best.logit")) for x in logits[1:]), F.lit(0.0)), F.exp(logits[0] - F.col("best.logit"))
+    return summed.withColumn("best", best).withColumn("family", F.col("best.family")).withColumn("probability", known / (known + none)).drop("best")
 
-def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Paragraphs with a weighted n-gram, and each document's first: doc_id, row, line, paragraph, family, probability.
+
+def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """Lines with a weighted n-gram, and each document's first: doc_id, row, line, paragraph, w0, w1, ... (sums of weights), family, probability.
 
     row tells apart rows of one id; line counts from 0.
     """
     spark, names = docs.sparkSession, [f"w{i}" for i in range(len(model.families))]
     table = spark.createDataFrame([(g, *w) for g, w in model.weights.items()] or [("", *[0.0] * len(names))], f"gram string, {', '.join(f'{n} double' for n in names)}")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+    rows = docs.select(*own, F.col(row).alias("row")) if row else keyed(docs, *own, name="row")
     lines = rows.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line", "paragraph"))
     spread = lines.select("*", F.posexplode_outer(grams(F.col("paragraph"))).alias("at", "gram"))
     met = spread.join(F.broadcast(table), "gram", "left")  # of the model's n-grams at most
     base = (F.col("line") == 0) & (F.coalesce(F.col("at"), F.lit(0)) == 0)
     kept = met.filter(F.col("w0").isNotNull() | base)
     summed = kept.groupBy("doc_id", "row", "line").agg(F.max("paragraph").alias("paragraph"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
-    logits = [(F.col(n) + F.lit(b)) / F.lit(model.heat) for n, b in zip(names, model.bias, strict=True)]
-    best = F.greatest(*(F.struct(x.alias("logit"), F.lit(f).alias("family")) for x, f in zip(logits, model.families, strict=True)))
-    total = sum((F.exp(x - F.col("best.logit")) for x in logits), F.lit(0.0))
-    return summed.withColumn("best", best).select("doc_id", "row", "line", "paragraph", F.col("best.family").alias("family"), (1 / total).alias("probability"))
+    return _judged(summed, model)
+
 
+def _confirmed(found: DataFrame, keys: list[str], probability: float, resemblance: float) -> DataFrame:
+    """found with family, probability and resemblance, null where the paragraph resembles no template of a likely family."""
+    spark = found.sparkSession
+    templates = spark.createDataFrame([(f, _grams(t)) for f, t in TEMPLATES], "family string, template array<string>")
+    likely = F.col("probability") >= probability
+    rest = [c for c in found.columns if c not in {*keys, "family", "probability", "paragraph"}]
+    named = found.select(*keys, "paragraph", "probability", *rest, F.when(likely, F.col("family")).alias("family"), F.when(likely, grams(F.col("paragraph"))).alias("own"))
+    met = named.join(F.broadcast(templates), "family", "left")  # the fixed templates
+    most = F.greatest(F.least(F.size("own"), F.size("template")), F.least(F.size("template"), F.lit(LEAST_GRAMS)))
+    share = F.size(F.array_intersect("own", "template")) / F.greatest(most, F.lit(1))
+    judged = met.groupBy(*keys).agg(F.max(share).alias("resemblance"), *(F.first(c).alias(c) for c in ("family", "probability", "paragraph", *rest)))
+    sure = F.coalesce(F.col("resemblance") >= resemblance, F.lit(False))
+    return judged.select(*keys, "paragraph", *rest, *(F.when(sure, F.col(c)).alias(c) for c in ("family", "probability", "resemblance")))
 
-def scan(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text", probability: float = PROBABILITY, resemblance: float = RESEMBLANCE) -> DataFrame:
-    """Confirmed licence paragraphs, and the first of each row of docs: doc_id, row, line, family, probability, resemblance.
 
-    Family and figures are null where nothing is confirmed.
-    resemblance: of the n-grams of the paragraph or of a template of its family,
+def scan(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text", probability: float = PROBABILITY, resemblance: float = RESEMBLANCE, row: str | None = None) -> DataFrame:
+    """Confirmed licence paragraphs, and the first line of each row of docs: doc_id, row, line, family, probability, resemblance.
+
+    line: the first of the paragraph's. Family and figures are null where nothing is confirmed.
+    Lines that are not confirmed by themselves but have weighted n-grams are judged in runs of adjacent ones.
+    probability: that the paragraph is a licence's; family: the likeliest. resemblance: of the n-grams of the paragraph or of a template of its family,
     whichever has fewer, the share that the other has too; the largest over the templates.
     """
     model = model or train(docs, text, doc_id)
-    found = paragraphs(docs, model, doc_id, text)
-    templates = docs.sparkSession.createDataFrame([(f, _grams(t)) for f, t in TEMPLATES], "family string, template array<string>")
-    likely = (F.col("family") != UNKNOWN) & (F.col("probability") >= probability)
-    named = found.select("doc_id", "row", "line", "probability", F.when(likely, F.col("family")).alias("family"), F.when(likely, grams(F.col("paragraph"))).alias("own"))
-    met = named.join(F.broadcast(templates), "family", "left")  # the fixed templates
-    share = F.size(F.array_intersect("own", "template")) / F.greatest(F.least(F.size("own"), F.size("template")), F.lit(1))
-    judged = met.groupBy("doc_id", "row", "line", "family", "probability").agg(F.max(share).alias("resemblance"))
-    confirmed = F.coalesce(F.col("resemblance") >= resemblance, F.lit(False))
-    shown = [F.when(confirmed, F.col(c)).alias(c) for c in ("family", "probability", "resemblance")]
-    return judged.filter(confirmed | (F.col("line") == 0)).select("doc_id", "row", "line", *shown)
+    sums, keys = [f"w{i}" for i in range(len(model.families))], ["doc_id", "row", "line"]
+    lines = settled(_confirmed(paragraphs(docs, model, doc_id, text, row), keys, probability, resemblance), "licence-lines")
+    open_ = lines.filter(F.col("family").isNull() & (F.greatest(*(F.abs(F.col(n)) for n in sums)) > 0))
+    run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("line"))
+    runs = open_.withColumn("_run", run).groupBy("doc_id", "row", "_run").agg(
+        F.min("line").alias("line"), F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "paragraph"))), lambda x: x["paragraph"]), " ").alias("paragraph"), *(F.sum(n).alias(n) for n in sums)
+    )
+    joined = _confirmed(_judged(runs.filter("_n > 1").select(*keys, "paragraph", *sums), model), keys, probability, resemblance).filter(F.col("family").isNotNull())
+    shown = [*keys, "family", "probability", "resemblance"]
+    return lines.filter(F.col("family").isNotNull() | (F.col("line") == 0)).select(*shown).unionByName(joined.select(*shown))
 
 
 def licences(docs: DataFrame, **options: object) -> DataFrame:
@@ -154,8 +212,8 @@ def licences(docs: DataFrame, **options: object) -> DataFrame:
 
     docs needs an id and a text; other columns are ignored. Result: one row per row
     of docs: doc_id, n_paragraphs (confirmed licence paragraphs), families (distinct, sorted), probability and
-    resemblance (the largest, null without any). A null or empty text has none. Rows are judged each by itself, so
-    repeated rows agree; an empty table gives no rows.
+    resemblance (the largest, null without any). A null or empty text has none; a long one is read whole. Rows are judged each by itself, so
+    repeated rows agree; an empty table gives no rows. Of families that are equally likely the last by name is taken.
     """
     found = scan(docs, **options)
     return found.groupBy("doc_id", "row").agg(F.count("family").alias("n_paragraphs"), F.array_sort(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"), F.max("resemblance").alias("resemblance")).drop("row")
