@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from orrery.llm.store import keyed, settled
+from orrery.llm.store import free, keyed, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -107,12 +107,13 @@ def mixed(docs: DataFrame, seed: int = 20, **options: object) -> DataFrame:
     cut text are joined by single spaces. docs: doc_id, text, source, any of them null;
     each row has takes of its own, also among rows that are alike.
     """
-    rows = keyed(docs)
-    taken = mix(rows, seed=seed, carry=("_row",), **options).filter(F.col("taken") > 0).select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    size, took = F.col("_size"), F.col("_taken")
+    row, size_of, taken_of, cut_of = (free(docs, n) for n in ("_row", "_size", "_taken", "_cut"))
+    rows = keyed(docs, name=row)
+    taken = mix(rows, seed=seed, carry=(row,), **options).filter(F.col("taken") > 0).select(row, F.col("size").alias(size_of), F.col("taken").alias(taken_of))
+    size, took, cut_at = F.col(size_of), F.col(taken_of), F.col(cut_of)
     whole = F.when(size > 0, F.floor(took / size)).otherwise(F.lit(0)).cast("int")
     cut = (took - whole * size).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
-    rows = rows.join(taken, "_row").withColumn("_cut", F.explode(copies))
-    text = F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("_cut"), F.lit(1))), " "))
+    rows = rows.join(taken, row).withColumn(cut_of, F.explode(copies))
+    text = F.when(cut_at == 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(cut_at, F.lit(1))), " "))
     return rows.withColumn("text", text).select(*docs.columns)

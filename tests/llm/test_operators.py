@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -184,6 +185,41 @@ def test_quality(spark, empty):
     assert {r["score"] for r in quality.classify(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_scores_are_dot_products(spark):
+    """Scores against a sum over each text's n-grams by itself; ids of any kind; rows of one id."""
+    own = [(i, t) for i, t in texts()]
+    df = spark.createDataFrame(own, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(len(t or "") > 120)) for i, t in own], "doc_id int, quality int")
+    model = quality.train(df, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
+    hasher = Hasher(31)
+    for i, t in own:
+        total = n = 0.0
+        for words in scan(pa.array([t or ""])):
+            for bucket, _ in quality.features(words, hasher, model.bits):
+                total, n = total + sum(float(model.weights[b]) for b in bucket.tolist()), n + len(bucket)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.bias + total / max(n, 1)))), abs=1e-6)
+    assert quality.classify(df.union(df), labels.union(labels)).count() == 2 * len(own)
+    again = quality.train(df.union(df).repartition(7), labels.union(labels))
+    assert np.allclose(again.weights, model.weights) and again.bias == pytest.approx(model.bias)
+
+
+def auc(rows):
+    good, bad = ([s for s, y in rows if y == k] for k in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / max(1, len(good) * len(bad))
+
+
+def test_quality_and_language_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    found = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in quality.classify(docs, labels).filter("held_out").collect() if truth.get(r["doc_id"]) is not None]
+    assert auc([(s, y) for s, _, y in found]) > 0.97 and sum(p == y for _, p, y in found) > 0.95 * len(found)
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    judged = [(r["lang_pred"], lang[r["doc_id"]]) for r in language.classify(docs).filter("held_out AND lang_pred <> 'und'").collect() if lang[r["doc_id"]]]
+    assert sum(a == b for a, b in judged) > 0.97 * len(judged)
+
+
 # 4
 
 
@@ -210,6 +246,46 @@ def test_licences_of_a_notice_in_many_lines(spark, family, notice):
     assert sum(r["n_paragraphs"] for r in got) == 23
 
 
+def test_licence_scores_are_sums_of_weights(spark):
+    """Probabilities of lines against the model worked out in plain Python."""
+    model = licences.fit([t for _, t in texts() if t])
+    rows = [(i, f"{t}\nand more") for i, (_, t) in enumerate(TEMPLATES)] + [(500 + i, t) for i, t in enumerate(OTHERS)]
+    got = licences.paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) >= len(rows)
+    for r in got:
+        logits = [b / model.heat for b in model.bias]
+        for g in licences._grams(r["paragraph"]):
+            for k, w in enumerate(model.weights.get(g, ())):
+                logits[k] += w / model.heat
+        top = max(logits)
+        p = [float(np.exp(x - top)) for x in logits]
+        assert r["probability"] == pytest.approx(1 - p[0] / sum(p), rel=1e-6, abs=1e-9)
+        assert r["family"] == model.families[logits.index(max(logits[1:]), 1)]
+
+
+#: Notices as projects word them; none is a template.
+WORDINGS = [
+    ("mit", "This library is released under the MIT License."), ("mit", "This code is licensed under the MIT license, see the LICENSE file."), ("mit", "The MIT License (MIT) Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), ("mit", "Dual licensed under the MIT and GPL licenses"),
+    ("apache", "This project is licensed under the Apache License, Version 2.0."), ("apache", "Released under the Apache License 2.0."), ("apache", "// SPDX-License-Identifier: Apache-2.0"), ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("bsd", "Released under the BSD License"), ("bsd", "This library is released under the 3-clause BSD license."), ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("gpl", "This is licensed under GPLv2."), ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"), ("gpl", "This work is licensed under the GNU General Public License, version 2."),
+    ("lgpl", "This package is licensed under the GNU Lesser General Public License, version 3."), ("agpl", "This program is licensed under the GNU Affero General Public License, version 3."), ("mpl", "This file is licensed under the Mozilla Public License, version 2.0."), ("isc", "Released under the ISC license"),
+    ("cc-by", "This text is licensed under a Creative Commons Attribution 4.0 International License."), ("cc-by-sa", "This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("cc-by-nc", "This text is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."), ("epl", "Released under the Eclipse Public License 2.0"),
+]
+
+
+def test_licences_in_other_words_and_wrapped(spark):
+    model = licences.fit([t for _, t in texts() if t])
+    long_ones = [(f, t) for f, t in TEMPLATES if len(t) > 170]
+    wrapped = [(f, "\n".join(textwrap.wrap(t, 60))) for f, t in long_ones]
+    rows = [(i, f"words before it\n\n{t}\n\nand words after") for i, (_, t) in enumerate([*WORDINGS, *wrapped])]
+    got = {r["doc_id"]: r["families"] for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    plainly = [f in got[i] for i, (f, _) in enumerate(WORDINGS)]
+    assert sum(plainly) >= 0.9 * len(plainly), [WORDINGS[i] for i, ok in enumerate(plainly) if not ok]
+    over_lines = [f in got[len(WORDINGS) + i] for i, (f, _) in enumerate(wrapped)]
+    assert sum(over_lines) >= 0.9 * len(over_lines), [wrapped[i] for i, ok in enumerate(over_lines) if not ok]
+
+
 # 5
 
 
@@ -280,6 +356,29 @@ def test_tokens(docs, empty):
     assert tokens.tokenize(empty).count() == 0
 
 
+def test_tokens_of_rows_without_ids_and_of_one_id(spark):
+    rows = [(None, f"text {i % 7}") for i in range(60)] + [(5, f"more {i % 3}") for i in range(40)] + [(1, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = tokens.tokenize(df).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 60 + [1] + [5] * 40 + [9]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    assert [(r["start"], r["ids_crc32"]) for r in tokens.tokenize(df.repartition(5)).orderBy("start").collect()] == [(r["start"], r["ids_crc32"]) for r in got]
+
+
+def test_pieces_whose_first_hashes_meet():
+    """Two pieces that share a key are told apart by the second hash."""
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+
+    class Same(Hasher):
+        def spans(self, data, start, end):
+            return super().spans(data, start, end) & np.uint64(3)
+
+    encoder.hasher = Same(77)
+    own = [" ".join(f"piece{i * j}" for j in range(9)) for i in range(40)]
+    for text, ids in zip(own * 2, encoder.encode(pa.array(own * 2)), strict=True):
+        assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
 def test_tokens_of_odd_texts():
     from tokenizers import Tokenizer
 

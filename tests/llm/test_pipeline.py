@@ -50,7 +50,8 @@ def test_repeated_rows_and_no_labels(spark, folder):
     docs = spark.createDataFrame([(1, "a b c d e f g", None, "s", 1), (1, "a b c d e f g", None, "s", 1), (None, "x y z", "en", "s", 1), (2, "a b c d e f g", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = P.drop_near_copies(spark, docs, folder).collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1]
-    assert P.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), folder).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert P.identify_language(spark, unlabelled.withColumn("text", F.when(F.col("doc_id") == 2, "12 34").otherwise(F.col("text"))), folder).count() == 3
     assert tokens.tokenize(docs).count() == 4 and plain.white("a b") == ["a", "b"]
 
 
@@ -86,5 +87,25 @@ def test_mixing_repeated_rows(spark, folder):
     assert sum(len(plain.white(r["text"])) for r in mixed.collect()) == 120
 
 
+CLASH = ["_row", "_key", "row", "key", "size", "taken", "score", "lang_pred", "lang_score", "words", "portion", "bucket", "_cut", "_size", "_taken", "_file", "_place", "component_id", "contaminated"]
+
+
+@pytest.mark.parametrize("ids", ["long", "int"])
+def test_stages_with_clashing_columns_edges_and_other_ids(spark, folder, ids):
+    """Each stage by itself: columns of names that it uses go through as they came, and so do edges."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast(ids))
+    edges = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "", 0), (500, "x " * 20_000, None, "s1", 40_000), (501, "tie", "en", "s1", 3), (501, "tie", "en", "s1", 3)], docs.schema)
+    for c in CLASH:
+        docs, edges = docs.withColumn(c, F.lit("clash")), edges.withColumn(c, F.lit("clash"))
+    both, none = docs.unionByName(edges).repartition(3), docs.limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, both, folder)
+        last = name == P.STAGES[-1][0]
+        assert last or out.columns == both.columns
+        rows = out.collect()
+        assert len(rows) and (last or all(r[c] == "clash" for r in rows for c in CLASH))
+        assert stage(spark, none, folder).count() == 0
+
+
 def test_all_operators_are_registered():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
