@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 DAY = 86_400_000_000
@@ -19,8 +21,17 @@ def _toward_zero(x: Column, n: int) -> Column:
     return (F.signum(x.cast("double")) * F.floor(F.abs(x) / n)).cast("long")
 
 
+def _once(i: Column, f: Callable[[Column], Column]) -> Column:
+    """f of an interval that is worked out once, however often f uses its parts."""
+    return F.transform(F.array(i), f)[0]
+
+
 def justify_hours(i: Column) -> Column:
     """24 hours become a day; the parts get one sign."""
+    return _once(i, _hours)
+
+
+def _hours(i: Column) -> Column:
     d = _toward_zero(i["micros"], DAY)
     days, micros = i["days"] + d, i["micros"] - d * DAY
     fix = F.when((days > 0) & (micros < 0), F.lit(-1)).when((days < 0) & (micros > 0), F.lit(1)).otherwise(F.lit(0))
@@ -29,6 +40,10 @@ def justify_hours(i: Column) -> Column:
 
 def justify_days(i: Column) -> Column:
     """30 days become a month."""
+    return _once(i, _days)
+
+
+def _days(i: Column) -> Column:
     m = _toward_zero(i["days"], 30)
     months, days = i["months"] + m, i["days"] - m * 30
     fix = F.when((months > 0) & (days < 0), F.lit(-1)).when((months < 0) & (days > 0), F.lit(1)).otherwise(F.lit(0))
@@ -37,7 +52,10 @@ def justify_days(i: Column) -> Column:
 
 def justify_interval(i: Column) -> Column:
     """Both, and then one sign for all parts."""
-    j = justify_days(justify_hours(i))
+    return _once(justify_days(justify_hours(i)), _one_sign)
+
+
+def _one_sign(j: Column) -> Column:
     months, days, micros = j["months"], j["days"], j["micros"]
     down = (months > 0) & ((days < 0) | ((days == 0) & (micros < 0)))
     up = (months < 0) & ((days > 0) | ((days == 0) & (micros > 0)))

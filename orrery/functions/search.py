@@ -1,19 +1,27 @@
 """Full-text search: a tsvector is array<struct(lexeme, positions)>, sorted by lexeme.
 
-The parser takes words of letters and digits; the `simple` configuration lowers them,
-`english` also drops stop words and takes off common endings.
+A position is struct(at, weight), with weights A to D. The parser takes words of letters and digits; the `simple`
+configuration lowers them, `english` also drops stop words and takes off common endings. All is
+column expressions, in time linear in the text but for the sort of its words.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 WORD = r"[\p{L}\p{N}]+"
-#: Common English words that are not indexed: fixed values.
-STOP_WORDS = frozenset("i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been being have has had do does did a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split())
+#: Common English words that are not indexed: fixed values, those of the Snowball project's English list.
+STOP_WORDS = tuple("i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split())
+#: Plural endings, then verbs' endings: a pattern of the whole word, of which the groups stay.
+ENDINGS = (r"^(?:(.*(?:ss|x|ch|sh|zz))es|(.*i)es|(.*[^su])s)$", r"^(.*[aeiouy].*)(?:ing|ed)$")
+#: Weights of positions D, C, B and A in ranks: fixed values.
+WEIGHTS = (0.1, 0.2, 0.4, 1.0)
+
+VECTOR = "array<struct<lexeme:string,positions:array<struct<at:int,weight:string>>>>"
+_NOWHERE = "array<struct<at:int,weight:string>>"
 
 
 def _lexeme(w: str, config: str) -> str:
@@ -23,51 +31,64 @@ def _lexeme(w: str, config: str) -> str:
         return w
     if w in STOP_WORDS:
         return ""
-    if re.search("(ss|x|ch|sh|zz)es$", w):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif re.search("[^s]s$", w) and not re.search("(us|ss)$", w):
-        w = w[:-1]
-    if re.search("[aeiouy].*ing$", w):
-        return w[:-3]
-    return w[:-2] if re.search("[aeiouy].*ed$", w) else w
+    for pattern in ENDINGS:
+        w = re.sub(pattern, lambda m: "".join(g or "" for g in m.groups()), w)
+    return w
+
+
+def lexeme(word: Column, config: str = "english") -> Column:
+    """A word's lexeme; empty for a stop word."""
+    low = F.lower(word)
+    if config == "simple":
+        return low
+    stem = F.regexp_replace(F.regexp_replace(low, ENDINGS[0], "$1$2$3"), ENDINGS[1], "$1")
+    return F.when(low.isin(*STOP_WORDS), "").otherwise(stem)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def parse(text: Column) -> Column:
     """ts_parse(): the words."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def lexize(word: Column, config: str = "english") -> Column:
     """ts_lexize(): an empty array for a stop word."""
+    return F.filter(F.array(lexeme(word, config)), lambda x: x != "") if config == "simple" else F.when(word.isNotNull(), F.filter(F.array(lexeme(word, config)), lambda x: x != ""))
 
-    @F.pandas_udf("array<string>")
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else [x for x in [_lexeme(w, config)] if x])
 
-    return run(word)
+def _gathered(places: Column) -> Column:
+    """A vector of struct(lexeme, at, weight): sorted, then cut where the lexeme changes."""
 
+    def runs(own: Column) -> Column:
+        lex = lambda i: F.get(own, i - 1)["lexeme"]
+        starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == 1) | (lex(i) != lex(i - 1)))
 
-def to_tsvector(text: Column, config: str = "english") -> Column:
-    """Lexemes and their positions, in time linear in the text, by Arrow batches.
+        def cut(at: Column) -> Column:
+            def run(a: Column, k: Column) -> Column:
+                past = F.coalesce(F.get(at, k + 1), F.size(own) + 1)
+                where = F.filter(F.transform(F.slice(own, a, past - a), lambda x: F.struct(x["at"].alias("at"), x["weight"].alias("weight"))), lambda x: x["at"].isNotNull())
+                return F.struct(lex(a).alias("lexeme"), where.alias("positions"))
+
+            return F.transform(at, run)
+
+        return F.when(F.size(own) > 0, _bound(starts, cut)).otherwise(F.array().cast(VECTOR))
+
+    return _bound(F.sort_array(places), runs)
 
-    Give the vector a column of its own before it is matched: Spark allows no
-    Python function inside the lambdas that matching uses.
-    """
 
-    def vector(t: str) -> list[dict]:
-        found: dict[str, list[int]] = {}
-        for i, w in enumerate(re.findall(r"[^\W_]+", t), 1):
-            if lex := _lexeme(w, config):
-                found.setdefault(lex, []).append(i)
-        return [{"lexeme": k, "positions": found[k]} for k in sorted(found)]
+def to_tsvector(text: Column, config: str = "english") -> Column:
+    """Lexemes and their positions; null for a null text."""
+    places = F.transform(parse(text), lambda w, i: F.struct(lexeme(w, config).alias("lexeme"), (i + 1).alias("at"), F.lit("D").alias("weight")))
+    return F.when(text.isNotNull(), _gathered(F.filter(places, lambda x: x["lexeme"] != "")))
 
-    @F.pandas_udf("array<struct<lexeme:string,positions:array<int>>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else vector(t))
 
-    return run(text)
+def array_to_tsvector(words: Column) -> Column:
+    """The distinct elements as lexemes without positions."""
+    return F.transform(F.array_sort(F.array_distinct(words)), lambda w: F.struct(w.alias("lexeme"), F.array().cast(_NOWHERE).alias("positions")))
 
 
 def lexemes(vector: Column) -> Column:
@@ -76,22 +97,63 @@ def lexemes(vector: Column) -> Column:
 
 
 def strip(vector: Column) -> Column:
-    return F.transform(vector, lambda e: F.struct(e["lexeme"].alias("lexeme"), F.array().cast("array<int>").alias("positions")))
+    return F.transform(vector, lambda e: F.struct(e["lexeme"].alias("lexeme"), F.array().cast(_NOWHERE).alias("positions")))
 
 
-def delete(vector: Column, lexeme: str) -> Column:
-    return F.filter(vector, lambda e: e["lexeme"] != lexeme)
+def delete(vector: Column, lexeme: str | Sequence[str]) -> Column:
+    gone = [lexeme] if isinstance(lexeme, str) else list(lexeme)
+    return F.filter(vector, lambda e: ~e["lexeme"].isin(*gone))
 
 
 def length(vector: Column) -> Column:
     return F.size(vector)
 
 
+def setweight(vector: Column, weight: str, only: Sequence[str] | None = None) -> Column:
+    """All positions (or those of some lexemes) with that weight."""
+
+    def put(e: Column) -> Column:
+        new = F.transform(e["positions"], lambda p: F.struct(p["at"].alias("at"), F.lit(weight.upper()).alias("weight")))
+        return F.struct(e["lexeme"].alias("lexeme"), (new if only is None else F.when(e["lexeme"].isin(*only), new).otherwise(e["positions"])).alias("positions"))
+
+    return F.transform(vector, put)
+
+
+def ts_filter(vector: Column, weights: Sequence[str]) -> Column:
+    """Lexemes at positions of those weights, and these positions."""
+    kept = [w.upper() for w in weights]
+    some = F.transform(vector, lambda e: F.struct(e["lexeme"].alias("lexeme"), F.filter(e["positions"], lambda p: p["weight"].isin(*kept)).alias("positions")))
+    return F.filter(some, lambda e: F.size(e["positions"]) > 0)
+
+
+def concat(a: Column, b: Column) -> Column:
+    """a || b: the positions of b follow those of a."""
+
+    def places(v: Column, ahead: Column) -> Column:
+        none = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("weight")))
+
+        def each(e: Column) -> Column:
+            where = F.when(F.size(e["positions"]) > 0, e["positions"]).otherwise(none)
+            return F.transform(where, lambda p: F.struct(e["lexeme"].alias("lexeme"), (p["at"] + ahead).alias("at"), p["weight"].alias("weight")))
+
+        return F.flatten(F.transform(v, each))
+
+    last = F.coalesce(F.array_max(F.transform(F.flatten(F.transform(a, lambda e: e["positions"])), lambda p: p["at"])), F.lit(0))
+    return _gathered(F.concat(places(a, F.lit(0)), places(b, last)))
+
+
+def show(vector: Column) -> Column:
+    """The text form: 'word':1A,2 'other':3."""
+    where = lambda p: F.concat(p["at"].cast("string"), F.when(p["weight"] == "D", "").otherwise(p["weight"]))
+    each = lambda e: F.concat(F.lit("'"), F.replace(e["lexeme"], F.lit("'"), F.lit("''")), F.lit("'"), F.when(F.size(e["positions"]) > 0, F.concat(F.lit(":"), F.array_join(F.transform(e["positions"], where), ","))).otherwise(""))
+    return F.array_join(F.transform(vector, each), " ")
+
+
 class Query:
-    """A parsed tsquery: words with & | ! and <-> or <n>."""
+    """A parsed tsquery: words (with weights that they may have) with & | ! and <-> or <n>."""
 
-    def __init__(self, kind: str, *parts: Query, word: str = "", prefix: bool = False, distance: int = 1) -> None:
-        self.kind, self.parts, self.word, self.prefix, self.distance = kind, parts, word, prefix, distance
+    def __init__(self, kind: str, *parts: Query, word: str = "", prefix: bool = False, distance: int = 1, weights: str = "") -> None:
+        self.kind, self.parts, self.word, self.prefix, self.distance, self.weights = kind, parts, word, prefix, distance, weights
 
     def nodes(self) -> int:
         """numnode()."""
@@ -100,9 +162,13 @@ class Query:
     def words(self) -> list[str]:
         return [self.word] if self.kind == "word" else [w for p in self.parts for w in p.words()]
 
+    def leaves(self) -> list[Query]:
+        return [self] if self.kind == "word" else [w for p in self.parts for w in p.leaves()]
+
     def __str__(self) -> str:
         if self.kind == "word":
-            return f"'{self.word}'" + ":*" * self.prefix
+            marks = "*" * self.prefix + self.weights
+            return f"'{self.word}'" + (f":{marks}" if marks else "")
         if self.kind == "!":
             return f"!{self.parts[0]}" if self.parts[0].kind == "word" else f"!( {self.parts[0]} )"
         sign = f"<{'-' if self.distance == 1 else self.distance}>" if self.kind == "<>" else self.kind
@@ -126,8 +192,8 @@ def phraseto_tsquery(text: str, config: str = "english") -> Query | None:
 
 
 def to_tsquery(text: str, config: str = "english") -> Query | None:
-    """Operators by rising strength: | & <-> !; :* asks for a prefix."""
-    tokens = re.findall(r"<->|<\d+>|[&|!()]|\w+(?::\*)?", text)
+    """Operators by rising strength: | & <-> !; :* asks for a prefix, :AB for positions of weight A or B."""
+    tokens = re.findall(r"<->|<\d+>|[&|!()]|\w+(?::[*A-Da-d]+)?", text)
     at = 0
 
     def level(signs: tuple[str, ...], below) -> Query | None:
@@ -160,9 +226,9 @@ def to_tsquery(text: str, config: str = "english") -> Query | None:
                 raise ValueError(f"syntax error in tsquery: {text}")
             at += 1
             return inner
-        word, _, star = t.partition(":")
+        word, _, marks = t.partition(":")
         lex = _lexeme(word, config)
-        return Query("word", word=lex, prefix=bool(star)) if lex else None
+        return Query("word", word=lex, prefix="*" in marks, weights="".join(sorted(set(marks.upper()) - {"*"}))) if lex else None
 
     def either() -> Query | None:
         return level(("|",), lambda: level(("&",), lambda: level(("<",), unary)))
@@ -190,15 +256,23 @@ def websearch_to_tsquery(text: str, config: str = "english") -> Query | None:
     return out
 
 
+def _same(q: Query) -> Callable[[Column], Column]:
+    return (lambda e: e["lexeme"].startswith(q.word)) if q.prefix else (lambda e: e["lexeme"] == q.word)
+
+
+def _places(vector: Column, q: Query) -> Column:
+    """Positions and weights of a word."""
+    found = F.flatten(F.transform(F.filter(vector, _same(q)), lambda e: e["positions"]))
+    return F.filter(found, lambda p: p["weight"].isin(*q.weights)) if q.weights else found
+
+
 def _positions(vector: Column, q: Query) -> Column:
     """Positions at which a word or phrase ends."""
-    none = F.array().cast("array<int>")
     if q.kind == "word":
-        same = (lambda e: e["lexeme"].startswith(q.word)) if q.prefix else (lambda e: e["lexeme"] == q.word)
-        return F.coalesce(F.flatten(F.transform(F.filter(vector, same), lambda e: e["positions"])), none)
+        return F.coalesce(F.transform(_places(vector, q), lambda p: p["at"]), F.array().cast("array<int>"))
     if q.kind == "<>":
         a, b = _positions(vector, q.parts[0]), _positions(vector, q.parts[1])
-        return F.filter(b, lambda p: F.array_contains(F.transform(a, lambda x: x + q.distance), p))
+        return F.array_intersect(b, F.transform(a, lambda x: x + q.distance))
     if q.kind == "|":
         return F.array_union(_positions(vector, q.parts[0]), _positions(vector, q.parts[1]))
     raise ValueError("only words, alternatives and phrases stand inside a phrase")
@@ -209,7 +283,7 @@ def matches(vector: Column, q: Query | None) -> Column:
     if q is None:
         return F.lit(False)
     if q.kind == "word":
-        return F.exists(vector, (lambda e: e["lexeme"].startswith(q.word)) if q.prefix else (lambda e: e["lexeme"] == q.word))
+        return F.size(_places(vector, q)) > 0 if q.weights else F.exists(vector, _same(q))
     if q.kind == "!":
         return ~matches(vector, q.parts[0])
     if q.kind == "<>":
@@ -218,21 +292,98 @@ def matches(vector: Column, q: Query | None) -> Column:
     return a & b if q.kind == "&" else a | b
 
 
-def rank(vector: Column, q: Query) -> Column:
-    """A frequency rank: each distinct word adds sums of 0.1 / place**2 over its positions, scaled by pi**2 / 6; the mean over words."""
-    words = sorted(set(q.words()))
+def matches_text(text: Column, q: Query | None, config: str = "english") -> Column:
+    """to_tsvector(text) @@ q without a vector: words are looked for as they stand, phrases in the places they leave."""
+    if q is None:
+        return F.lit(False)
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    own = words if config == "simple" else F.transform(words, lambda w: lexeme(w, config))
+
+    def ends(p: Query) -> Column:
+        if p.kind == "word":
+            same = (lambda w: w.startswith(p.word)) if p.prefix else (lambda w: w == p.word)
+            return F.filter(F.transform(own, lambda w, i: F.when(same(w), i)), lambda i: i.isNotNull())
+        if p.kind == "<>":
+            return F.array_intersect(ends(p.parts[1]), F.transform(ends(p.parts[0]), lambda i: i + p.distance))
+        if p.kind == "|":
+            return F.array_union(*(ends(x) for x in p.parts))
+        raise ValueError("only words, alternatives and phrases stand inside a phrase")
+
+    def hit(p: Query) -> Column:
+        if p.kind == "word":
+            if p.weights and "D" not in p.weights:
+                return F.lit(False)
+            return F.exists(own, lambda w: w.startswith(p.word)) if p.prefix else F.array_contains(own, p.word)
+        if p.kind == "!":
+            return ~hit(p.parts[0])
+        if p.kind == "<>":
+            return F.size(ends(p)) > 0
+        a, b = (hit(x) for x in p.parts)
+        return a & b if p.kind == "&" else a | b
+
+    return F.when(text.isNotNull(), hit(q))
+
+
+def _weight(p: Column, weights: Sequence[float]) -> Column:
+    out = F.lit(float(weights[0]))
+    for name, value in zip("CBA", weights[1:], strict=True):
+        out = F.when(p["weight"] == name, F.lit(float(value))).otherwise(out)
+    return out
+
 
-    def weight(w: str) -> Column:
-        n = F.size(_positions(vector, Query("word", word=w)))
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, i: a + F.lit(0.1) / (i * i)) / 1.64493406685).otherwise(0.0)
+def _frequency(vector: Column, words: list[Query], weights: Sequence[float]) -> Column:
+    """Of each word the heaviest position counts whole and the others by the square of their place; the mean over words."""
 
-    total = weight(words[0])
-    for w in words[1:]:
-        total = total + weight(w)
-    return total / len(words)
+    def of(q: Query) -> Column:
+        own = F.transform(_places(vector, q), lambda p: _weight(p, weights))
+
+        def total(w: Column) -> Column:
+            falling = F.aggregate(F.transform(w, lambda x, i: x / ((i + 1) * (i + 1))), F.lit(0.0), lambda a, x: a + x)
+            top = F.array_max(w)
+            place = F.array_position(w, top).cast("double")
+            return F.when(F.size(w) > 0, (falling + top - top / (place * place)) / 1.64493406685).otherwise(0.0)
+
+        return _bound(own, total)
+
+    out = of(words[0])
+    for q in words[1:]:
+        out = out + of(q)
+    return out / len(words)
+
+
+def _pairs(a: Column, b: Column, weights: Sequence[float]) -> Column:
+    """How far each position of a stands from each of b, and the product of their weights."""
+    one = lambda x: F.transform(b, lambda y: F.struct(F.abs(x["at"] - y["at"]).alias("far"), (_weight(x, weights) * _weight(y, weights)).alias("w")))
+    return F.flatten(F.transform(a, one))
+
+
+def _closeness(vector: Column, words: list[Query], weights: Sequence[float]) -> Column:
+    """Pairs of positions of different words, each the closer the better, as independent chances."""
+    miss = F.lit(1.0)
+    for i, a in enumerate(words):
+        for b in words[:i]:
+            each = _pairs(_places(vector, a), _places(vector, b), weights)
+            apart = F.filter(each, lambda p: p["far"] > 0)
+            near = lambda p: F.when(p["far"] > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(p["far"] / 1.5 - 2.0)))
+            miss = miss * F.aggregate(apart, F.lit(1.0), lambda m, p: m * (1.0 - F.sqrt(p["w"] * near(p))))
+    return F.lit(1.0) - miss
+
+
+def rank(vector: Column, q: Query, weights: Sequence[float] = WEIGHTS) -> Column:
+    """ts_rank(): by closeness where the query asks for several words at once, else by frequency.
+
+    Position lists are compared in pairs, so the cost of the first grows with their product.
+    """
+    words = list({str(w): w for w in q.leaves()}.values())
+    often = _frequency(vector, words, weights)
+    if q.kind not in ("&", "<>") or len(words) < 2:
+        return often
+    close = _closeness(vector, words, weights)
+    return F.when(close > 0, close).otherwise(often)
 
 
 def headline(text: Column, q: Query, start: str = "<b>", stop: str = "</b>") -> Column:
-    """The text with the query's words marked (words that begin with a lexeme of the query)."""
-    alternatives = "|".join(sorted(map(re.escape, set(q.words())), key=len, reverse=True))
-    return F.regexp_replace(text, rf"(?i)\b((?:{alternatives})(?:s|ed|ing|es)?)\b", f"{start}$1{stop}")
+    """The text with the query's words marked (words that begin with a lexeme of the query and end there or in a common ending)."""
+    endings = {str(w): re.escape(w.word) + (r"\w*" if w.prefix else "(?:s|ed|ing|es)?") for w in q.leaves()}
+    alternatives = "|".join(sorted(endings.values(), key=len, reverse=True))
+    return F.regexp_replace(text, rf"(?i)\b((?:{alternatives}))\b", f"{start}$1{stop}")

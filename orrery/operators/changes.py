@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,19 +29,25 @@ def insert(target: DataFrame, rows: DataFrame) -> Changed:
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Changed:
-    """ON CONFLICT DO NOTHING: rows whose key exists are left out, and so are later ones of one key."""
-    fresh = rows.select(*target.columns).dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti").select(*target.columns)
+    """ON CONFLICT DO NOTHING: rows whose key exists are left out, and so are later ones of one key.
+
+    A key with a null conflicts with none.
+    """
+    keys = list(keys)
+    new = rows.select(*target.columns)
+    partly = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    fresh = new.filter(~partly).dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new.filter(partly))
     return Changed(target.unionByName(fresh), fresh)
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], assign: dict[str, Column] | None = None) -> Changed:
     """ON CONFLICT DO UPDATE. assign: new values from old ('t.x') and proposed ('s.x') columns; all are taken over by default.
 
-    rows must not hold a key twice.
+    rows must not hold a key twice. A key with a null conflicts with none: such rows are inserted.
     """
     keys = list(keys)
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), rows.select(*target.columns).withColumn("_s", F.lit(True)).alias("s")
-    on = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
     joined = t.join(s, on, "full")
     both, new = F.col("t._t").isNotNull() & F.col("s._s").isNotNull(), F.col("t._t").isNull()
 

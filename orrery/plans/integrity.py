@@ -3,8 +3,9 @@
 A table's rows are hashed over all columns and put into partitions x leaves by their
 key; a leaf is the XOR of its rows' hashes, and a node the XOR of its children. A
 256-bit hash is held as eight 32-bit words, which `bit_xor` aggregates natively. An
-empty leaf is all zero. Two equal rows cancel: the tree is over the parity of rows, as
-XOR is its own inverse, which is what makes inserts and deletes cheap. It finds
+empty leaf is all zero. Two equal rows cancel in the hash, which is over the parity of rows, as
+XOR is its own inverse; that makes inserts and deletes cheap. Each leaf also counts its rows, and
+verification compares both. It finds
 accidents and plain tampering; it isn't a defence against one who can choose rows.
 """
 
@@ -143,10 +144,13 @@ def apply_changes(leaf_table: DataFrame, inserted: DataFrame | None, deleted: Da
 
 
 def differences(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("leaf",)) -> DataFrame:
-    """Leaves (or nodes) that differ between two tables of them; absent ones are zero."""
+    """Leaves (or nodes) that differ in their hash or their number of rows between two tables of them; absent ones are zero.
+
+    Rows that were added twice leave the hash as it was: their number tells.
+    """
     joined = a.alias("a").join(b.alias("b"), list(keys), "full")
     zero = F.lit(0).cast("long")
-    same = [F.coalesce(F.col(f"a.{w}"), zero) == F.coalesce(F.col(f"b.{w}"), zero) for w in WORDS]
+    same = [F.coalesce(F.col(f"a.{w}"), zero) == F.coalesce(F.col(f"b.{w}"), zero) for w in (*WORDS, "n")]
     together = same[0]
     for s in same[1:]:
         together = together & s

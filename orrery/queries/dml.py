@@ -24,6 +24,23 @@ def insert_on_conflict_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.insert_ignore(n, n.select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.lit("x").alias("n_name"), "n_regionkey"), ["n_nationkey"]).table
 
 
+_NULLS = "SELECT CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey + {0} END AS k, n_name || '{1}' AS v FROM nation"
+
+
+def _with_nulls(spark: SparkSession, sf_dir: str, step: int, mark: str) -> DataFrame:
+    return _nation(spark, sf_dir).select(F.when(F.col("n_nationkey") % 5 > 0, F.col("n_nationkey") + step).alias("k"), F.concat("n_name", F.lit(mark)).alias("v"))
+
+
+@query(f"WITH t AS ({_NULLS.format(0, '')}), s AS ({_NULLS.format(15, '+')}) SELECT * FROM t UNION ALL SELECT * FROM s WHERE k IS NULL OR NOT EXISTS (SELECT 1 FROM t WHERE t.k = s.k)")
+def insert_ignore_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.insert_ignore(_with_nulls(spark, sf_dir, 0, ""), _with_nulls(spark, sf_dir, 15, "+"), ["k"]).table
+
+
+@query(f"WITH t AS ({_NULLS.format(0, '')}), s AS ({_NULLS.format(15, '+')}) SELECT coalesce(t.k, s.k) AS k, coalesce(s.v, t.v) AS v FROM t FULL JOIN s ON t.k = s.k")
+def upsert_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.upsert(_with_nulls(spark, sf_dir, 0, ""), _with_nulls(spark, sf_dir, 15, "+"), ["k"]).table
+
+
 _UPSERT = "SELECT coalesce(t.n_nationkey, s.k) AS n_nationkey, CASE WHEN t.n_nationkey IS NULL THEN 'x' WHEN s.k IS NULL THEN t.n_name ELSE t.n_name || '+x' END AS n_name, coalesce(t.n_regionkey, s.r) AS n_regionkey FROM nation t FULL JOIN (SELECT n_nationkey + 20 AS k, n_regionkey AS r FROM nation) s ON t.n_nationkey = s.k"
 
 

@@ -20,14 +20,14 @@ sql("case_coalesce_nullif", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'deb
 sql("ilike_escape", "SELECT c_custkey FROM {customer} WHERE c_name ILIKE '%R#0000000_5%' OR c_name LIKE '100!%' ESCAPE '!'")
 sql("regex_match", "SELECT doc_id, regexp_like(text, '(?i)license') AS has_licence FROM {documents}", "SELECT doc_id, regexp_matches(text, '(?i)license') AS has_licence FROM documents")
 sql("quantified_array", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE exists(array(3, 5, 7), x -> x = l_linenumber) AND forall(array(10.0D, 20.0D), x -> l_quantity > x)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = ANY([3, 5, 7]) AND l_quantity > 20")
-sql("generated_column", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) AS net FROM {lineitem} WHERE l_linenumber = 1")
+sql("generated_column", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) AS net FROM {lineitem}")
 sql("casts", "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS as_text, CAST(o_totalprice AS BIGINT) AS dummy, CAST(o_orderdate AS DATE) AS day FROM {orders} WHERE o_totalprice = floor(o_totalprice)", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS as_text, CAST(o_totalprice AS BIGINT) AS dummy, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice = floor(o_totalprice)")
 sql("try_cast", "SELECT p_partkey, try_cast(substr(p_brand, 7) AS INT) AS brand_number, try_cast(p_name AS INT) AS no_number FROM {part}")
 sql("values_scan", "SELECT r.r_name, v.label FROM {region} r JOIN (VALUES (0, 'zero'), (1, 'one'), (2, NULL)) AS v(k, label) ON r.r_regionkey = v.k")
 sql("limit_offset", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
 sql("limit_zero", "SELECT o_orderkey FROM {orders} LIMIT 0")
 sql("top_n_nulls", "SELECT doc, v FROM (SELECT doc_id AS doc, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END AS v FROM {documents}) t ORDER BY v DESC NULLS FIRST, doc LIMIT 20")
-sql("sort_nulls_last", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS v FROM {customer}) t ORDER BY v ASC NULLS LAST, k LIMIT 100")
+sql("sort_nulls_last", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS v FROM {customer}) t ORDER BY v ASC NULLS LAST, k")
 sql("row_security", "SELECT c_custkey, c_name FROM (SELECT * FROM {customer} WHERE c_nationkey = 7) visible WHERE c_acctbal > 0")
 
 # Joins
@@ -63,8 +63,9 @@ def range_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS rn FROM customer JOIN supplier ON c_nationkey = s_nationkey) t WHERE rn <= 2")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    return R.nearest(pairs, ["c_custkey"], F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2, "s_suppkey").select("c_custkey", "s_suppkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
+    return R.nearest_join(c, s, ["nation"], "c_acctbal", "s_acctbal", 2, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_retailprice > ALL (SELECT p_retailprice FROM part WHERE p_size = 10)")
@@ -85,6 +86,30 @@ def row_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter(less).select("l_orderkey", "l_linenumber")
 
 
+def _quantified(sign: str, quantifier: str, name: str) -> None:
+    inner = "(SELECT CASE WHEN s_suppkey % 10 < 8 THEN s_nationkey END FROM supplier WHERE s_acctbal > {0})"
+    parts = [f"SELECT c_custkey, {k} AS k FROM customer WHERE c_nationkey {sign} {quantifier.upper()} {inner.format(x)}" for k, x in ((1, 9000), (2, 99999))]
+
+    @query(" UNION ALL ".join(parts).replace("% 10 < 8", "% 10 < 10") + f" UNION ALL SELECT c_custkey, 3 FROM customer WHERE c_nationkey {sign} {quantifier.upper()} {inner.format(0)}", f"quantified_{name}_{quantifier}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c, s = (table(spark, sf_dir, t) for t in ("customer", "supplier"))
+        some = s.select("s_acctbal", F.when(F.col("s_suppkey") % 10 < 8, F.col("s_nationkey")).alias("v"))
+        each = [(1, s.filter("s_acctbal > 9000"), "s_nationkey"), (2, s.filter("s_acctbal > 99999"), "s_nationkey"), (3, some.filter("s_acctbal > 0"), "v")]
+        found = [R.quantified(c, "c_nationkey", sign, quantifier, other, column).select("c_custkey", F.lit(k).alias("k")) for k, other, column in each]
+        return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+for _sign, _name in (("=", "equal"), ("<>", "unequal"), ("<", "less"), (">=", "at_least")):
+    for _q in ("any", "all"):
+        _quantified(_sign, _q, _name)
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_quantity > 24 OR (l_quantity = 24 AND l_linenumber >= 3)) AS ge, (l_quantity = 24 AND l_linenumber = 3) AS eq, (l_quantity <> 24 OR l_linenumber <> 3) AS ne, (l_quantity < 24 OR (l_quantity = 24 AND l_linenumber <= 3)) AS le FROM lineitem")
+def row_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = [F.col("l_quantity"), F.col("l_linenumber")], [F.lit(24.0), F.lit(3)]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(R.row_compare(left, sign, right).alias(n) for sign, n in ((">=", "ge"), ("=", "eq"), ("<>", "ne"), ("<=", "le"))))
+
+
 # Aggregates
 
 sql("group_aggregate", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS sum_price, min(l_discount) AS min_disc, max(l_tax) AS max_tax, count(DISTINCT l_suppkey) AS suppliers FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
@@ -159,16 +184,28 @@ def window_groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _excluded(kind: str) -> None:
     frame = {"current row": "CURRENT ROW", "group": "GROUP", "ties": "TIES"}[kind]
+    part = "PARTITION BY l_orderkey ORDER BY l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    columns = ", ".join(f"{f}(l_quantity) OVER ({part} EXCLUDE {frame}) AS {n}" for f, n in (("sum", "s"), ("count", "n"), ("min", "least"), ("max", "most")))
 
-    @query(f"SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_returnflag ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {frame}), 6) AS s FROM lineitem", f"window_exclude_{kind.replace(' ', '_')}")
+    @query(f"SELECT l_orderkey, l_linenumber, {columns}, round(avg(l_quantity) OVER ({part} EXCLUDE {frame}), 6) AS mean FROM lineitem", f"window_exclude_{kind.replace(' ', '_')}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        whole = (Window.unboundedPreceding, Window.unboundedFollowing)
-        return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(R.excluded_sum("l_quantity", ["l_orderkey"], ["l_returnflag"], *whole, kind), 6).alias("s"))
+        rows = table(spark, sf_dir, "lineitem")
+        for f, name in (("sum", "s"), ("count", "n"), ("min", "least"), ("max", "most"), ("avg", "mean")):
+            rows = R.excluded(rows, f, "l_quantity", ["l_orderkey"], ["l_returnflag"], Window.unboundedPreceding, Window.unboundedFollowing, kind, name)
+        return rows.select("l_orderkey", "l_linenumber", "s", "n", "least", "most", F.round("mean", 6).alias("mean"))
 
 
 for _kind in ("current row", "group", "ties"):
     _excluded(_kind)
 
+
+@query("SELECT event_id, sum(floor(value)) OVER (PARTITION BY user_id ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS s, min(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS m FROM events")
+def window_exclude_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("f", F.floor("value").cast("double"))
+    one = R.excluded(e, "sum", "f", ["user_id"], ["event_type"], Window.unboundedPreceding, 0, "group", "s")
+    return R.excluded(one, "min", "event_id", ["user_id"], ["ts", "event_id"], -3, 2, "current row", "m").select("event_id", "s", "m")
+
+
 # Sets
 
 sql("union_all", "SELECT n_name AS name FROM {nation} UNION ALL SELECT r_name FROM {region} UNION ALL SELECT n_name FROM {nation} WHERE n_nationkey < 3")
@@ -177,7 +214,7 @@ sql("intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nat
 sql("intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
 sql("except_distinct", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0")
 sql("except_all", "SELECT o_custkey AS k FROM {orders} EXCEPT ALL SELECT c_custkey FROM {customer}")
-sql("merge_append", "SELECT k, src FROM (SELECT c_custkey AS k, 'c' AS src FROM {customer} UNION ALL SELECT s_suppkey, 's' FROM {supplier}) t ORDER BY k, src LIMIT 50")
+sql("merge_append", "SELECT k, src FROM (SELECT c_custkey AS k, 'c' AS src FROM {customer} UNION ALL SELECT s_suppkey, 's' FROM {supplier}) t ORDER BY k, src")
 
 # Common table expressions and subqueries
 
@@ -199,6 +236,15 @@ def connect_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.connect_by(tree, "k", "parent", 0).select("key", "level", "branch")
 
 
+@query("SELECT o_orderkey AS key, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS level FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY 1")
+def connect_by_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer, each below the one before it."""
+    o = table(spark, sf_dir, "orders")
+    own = o.join(F.broadcast(o.agg(F.min("o_custkey").alias("o_custkey"))), "o_custkey")  # one row
+    chain = own.select(F.col("o_orderkey").alias("k"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("parent"))
+    return R.connect_by(chain, "k", "parent", chain.filter("parent IS NULL").first()["k"]).select("key", "level")
+
+
 @query()
 def sample_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").sample(False, 0.1, 42).select("l_orderkey", "l_linenumber")
@@ -211,6 +257,6 @@ def sample_system_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql("generate_series", "SELECT id AS n FROM range(1, 101, 3)", "SELECT generate_series AS n FROM generate_series(1, 100, 3)")
 sql("generate_series_dates", "SELECT explode(sequence(DATE'2024-01-30', DATE'2024-03-02', INTERVAL 1 DAY)) AS d", "SELECT CAST(generate_series AS DATE) AS d FROM generate_series(TIMESTAMP '2024-01-30', TIMESTAMP '2024-03-02', INTERVAL 1 DAY)")
-sql("unnest_ordinality", "SELECT vec_id, pos + 1 AS place, round(CAST(x AS DOUBLE), 5) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, x WHERE vec_id < 20", "SELECT vec_id, unnest(generate_series(1, len(embedding))) AS place, round(CAST(unnest(embedding) AS DOUBLE), 5) AS x FROM embeddings WHERE vec_id < 20")
+sql("unnest_ordinality", "SELECT vec_id, pos + 1 AS place, round(CAST(x AS DOUBLE), 5) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, x", "SELECT vec_id, unnest(generate_series(1, len(embedding))) AS place, round(CAST(unnest(embedding) AS DOUBLE), 5) AS x FROM embeddings")
 sql("crosstab", "SELECT * FROM (SELECT l_returnflag, l_linenumber, l_quantity FROM {lineitem}) PIVOT (max(l_quantity) FOR l_linenumber IN (1 AS one, 2 AS two, 7 AS seven))", "SELECT l_returnflag, max(l_quantity) FILTER (WHERE l_linenumber = 1) AS one, max(l_quantity) FILTER (WHERE l_linenumber = 2) AS two, max(l_quantity) FILTER (WHERE l_linenumber = 7) AS seven FROM lineitem GROUP BY l_returnflag")
 sql("unpivot", "SELECT p_partkey, what, amount FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM {part}) UNPIVOT (amount FOR what IN (size, price))", "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS amount FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")

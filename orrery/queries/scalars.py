@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.functions import arrays as A, datetimes as D, extras as X, fuzzy as Z, geometry as G, jsons as J, maths as M, network as N, ranges as R, search as T, strings as S
-from orrery.queries.registry import query, sql, table
+from orrery.queries.registry import ORACLE, query, sql, table
 
 col, lit = F.col, F.lit
 
@@ -46,17 +46,20 @@ sql("math_powers", "SELECT p_partkey, round(exp(p_size / 50), 8) AS e, round(ln(
 sql("math_trigonometry", "SELECT p_partkey, round(sin(p_size), 8) AS s, round(cos(p_size), 8) AS c, round(tan(p_size / 40), 8) AS t, round(atan2(p_size, 7), 8) AS a, round(asin(p_size / 60), 8) AS asn, round(acos(p_size / 60), 8) AS ac, round(radians(p_size), 8) AS r, round(degrees(p_size), 6) AS d, round(sinh(p_size / 20), 6) AS sh, round(cosh(p_size / 20), 6) AS ch, round(tanh(p_size / 20), 8) AS th, round(asinh(p_size), 8) AS ash FROM {part}")
 
 
-@query("SELECT l_orderkey, l_linenumber, trunc(l_extendedprice / 1000) AS t, round_even(l_quantity / 4, 0) AS r, round(log(l_quantity), 8) AS lg, gcd(CAST(l_quantity AS BIGINT), 36) AS g, lcm(CAST(l_quantity AS BIGINT), 12) AS lc FROM lineitem WHERE l_linenumber = 2")
+@query("SELECT l_orderkey, l_linenumber, trunc(l_extendedprice / 1000) AS t, round_even(l_quantity / 4, 0) AS r, round(log(l_quantity), 8) AS lg, gcd(CAST(l_quantity AS BIGINT), 36) AS g, lcm(CAST(l_quantity AS BIGINT), 12) AS lc FROM lineitem")
 def math_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = col("l_quantity")
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 2")
-    return rows.select("l_orderkey", "l_linenumber", M.trunc(col("l_extendedprice") / 1000).alias("t"), M.round_float(q / 4).alias("r"), F.round(M.log(q), 8).alias("lg"), M.gcd(q, lit(36)).alias("g"), M.lcm(q, lit(12)).alias("lc"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", M.trunc(col("l_extendedprice") / 1000).alias("t"), M.round_float(q / 4).alias("r"), F.round(M.log(q), 8).alias("lg"), M.gcd(q, lit(36)).alias("g"), M.lcm(q, lit(12)).alias("lc"))
 
 
-@query("SELECT k, CASE k WHEN 0 THEN 0.0 WHEN 30 THEN 0.5 WHEN 90 THEN 1.0 WHEN 150 THEN 0.5 WHEN 180 THEN 0.0 WHEN 210 THEN -0.5 WHEN 270 THEN -1.0 ELSE -0.5 END AS s FROM (SELECT unnest([0, 30, 90, 150, 180, 210, 270, 330]) AS k) t")
+@query()
 def math_degrees_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = spark.range(1).select(F.explode(F.array(*map(lit, M.SINES))).alias("k"))
-    return k.select("k", M.sind(col("k")).alias("s"))
+    k = (col("event_id") * 15 % 720).cast("double")
+    shown = lambda c, n: (F.round(c, 8) + 0.0).alias(n)
+    return table(spark, sf_dir, "events").select("event_id", shown(M.sind(k), "s"), shown(M.cosd(k), "c"), shown(M.atan2d(k - 100, lit(50.0)), "a"), shown(M.asind(k / 720.0), "asn"))
+
+
+ORACLE["math_degrees_exact"] = "SELECT event_id, round(sin(radians(k)), 8) + 0.0 AS s, round(cos(radians(k)), 8) + 0.0 AS c, round(degrees(atan2(k - 100, 50)), 8) + 0.0 AS a, round(degrees(asin(k / 720.0)), 8) + 0.0 AS asn FROM (SELECT event_id, event_id * 15 % 720 AS k FROM events) t"
 
 
 sql("width_bucket", "SELECT o_orderkey, width_bucket(o_totalprice, 0, 500000, 10) AS b FROM {orders}", "SELECT o_orderkey, CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 11 ELSE CAST(floor(o_totalprice / 50000) AS INT) + 1 END AS b FROM orders")
@@ -76,17 +79,17 @@ def date_formats_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", D.to_char(d, "YYYY/MM/DD HH24:MI:SS").alias("shown"), D.isodow(d).alias("iso"), o.alias("o"))
 
 
-@query("SELECT o_orderkey, datepart('year', a) * 12 + datepart('month', a) AS months, datepart('day', a) AS days FROM (SELECT o_orderkey, age(TIMESTAMP '2026-03-15 00:00:00', date_trunc('day', o_orderdate)) AS a FROM orders WHERE day(o_orderdate) <= 15) t")
+@query("SELECT o_orderkey, datepart('year', a) * 12 + datepart('month', a) AS months, datepart('day', a) AS days FROM (SELECT o_orderkey, age(TIMESTAMP '2026-03-15 00:00:00', date_trunc('day', o_orderdate)) AS a FROM orders) t")
 def date_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").filter("day(o_orderdate) <= 15")
     age = D.age(lit("2026-03-15 00:00:00").cast("timestamp_ntz"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz"))
-    return rows.select("o_orderkey", age.alias("a")).select("o_orderkey", "a.months", "a.days")
+    return table(spark, sf_dir, "orders").select("o_orderkey", age.alias("a")).select("o_orderkey", "a.months", "a.days")
 
 
-@query("SELECT k, months, days, micros FROM (VALUES (1, 1, 5, 3600000000), (2, 0, 1, 7200000000), (3, -1, -5, 0)) AS v(k, months, days, micros)")
+@query("SELECT event_id, (d // 30)::INT AS months, (d % 30)::INT AS days, h % 86400 * 1000000 AS micros FROM (SELECT event_id, event_id % 70 + event_id * 7000 % 500000 // 86400 AS d, event_id * 7000 % 500000 AS h FROM events) t")
 def date_justify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 0, 35, 3_600_000_000), (2, 0, 0, 26 * 3_600_000_000), (3, 0, -35, 0)], "k int, months int, days int, micros long")
-    return rows.select("k", D.justify_interval(F.struct("months", "days", "micros")).alias("i")).select("k", "i.*")
+    k = col("event_id")
+    span = F.struct(lit(0).alias("months"), (k % 70).cast("int").alias("days"), (k * 7000 % 500000 * 1000000).alias("micros"))
+    return table(spark, sf_dir, "events").select("event_id", D.justify_interval(span).alias("i")).select("event_id", "i.*")
 
 
 # Arrays
@@ -130,66 +133,121 @@ def json_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("row_to_json", "SELECT n_nationkey, to_json(named_struct('n', n_nationkey, 'r', n_regionkey)) AS j FROM {nation}", "SELECT n_nationkey, json_object('n', n_nationkey, 'r', n_regionkey)::VARCHAR AS j FROM nation")
 
 
-@query("SELECT k, c FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, true)) AS v(k, c)")
+@query("SELECT event_id, (json_extract_string(props, '$.k')::INT % 3 = 0) AS c, (json_extract_string(props, '$.k')::INT % 4 < 2) AS l FROM events")
 def json_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, '{"a":1,"b":{"c":[1,2]}}', '{"b":{"c":[2]}}'), (2, '{"a":1}', '{"a":2}'), (3, "[1,2,3]", "[3,1]"), (4, '{"a":true}', '{"a":1}'), (5, "[1,2]", "1")]
-    return spark.createDataFrame(rows, "k int, a string, b string").select("k", J.contains(col("a"), col("b")).alias("c"))
+    k = J.path(col("props"), "k").cast("int")
+    doc = F.concat(lit('{"a":1,"b":{"c":['), k % 3, lit(',7]},"k":'), k, lit("}"))
+    part = F.concat(lit('{"b":{"c":[7,0]},"k":'), k, lit("}"))
+    one = F.concat(lit("["), k % 4, lit("]"))
+    return table(spark, sf_dir, "events").select("event_id", J.contains(doc, part).alias("c"), J.contains(lit("[0,1,9]"), one).alias("l"))
 
 
-@query("SELECT k, n FROM (VALUES (1, '{\"b\": 3, \"aa\": 2}'), (2, '[1, {\"x\": null}]')) AS v(k, n)")
+@query("SELECT event_id, '{\"b\": ' || (event_id % 5) || ', \"aa\": ' || json_extract_string(props, '$.k') || '}' AS n FROM events")
 def json_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(1, '{"aa":1,"b":3,"aa":2}'), (2, '[1,{"x":null}]')], "k int, a string").select("k", J.normal(col("a")).alias("n"))
+    doc = F.concat(lit('{"aa":1,"b":'), col("event_id") % 5, lit(',"aa":'), J.path(col("props"), "k"), lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", J.normal(doc).alias("n"))
 
 
 # Ranges
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, al < bh AND bl < ah AS o, ah = bl OR bh = al AS adj, CASE WHEN al < bh AND bl < ah THEN '[' || greatest(al, bl) || ',' || least(ah, bh) || ')' ELSE 'empty' END AS i, '[' || least(al, bl) || ',' || greatest(ah, bh) || ')' AS m, CASE WHEN al <= bh AND bl <= ah THEN '[' || least(al, bl) || ',' || greatest(ah, bh) || ')' END AS u, al <= bl AND bh <= ah AS c, ah <= bl AS l FROM (SELECT n_nationkey, n_nationkey AS al, n_nationkey + 1 + n_regionkey AS ah FROM nation) a, (SELECT n_nationkey, n_nationkey * 2 % 11 AS bl, n_nationkey * 2 % 11 + 3 AS bh FROM nation WHERE n_regionkey < 3) b")
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, al < bh AND bl < ah AS o, ah = bl OR bh = al AS adj, CASE WHEN al < bh AND bl < ah THEN '[' || greatest(al, bl) || ',' || least(ah, bh) || ')' ELSE 'empty' END AS i, '[' || least(al, bl) || ',' || greatest(ah, bh) || ')' AS m, CASE WHEN al <= bh AND bl <= ah THEN '[' || least(al, bl) || ',' || greatest(ah, bh) || ')' END AS u, al <= bl AND bh <= ah AS c, ah <= bl AS l FROM (SELECT n_nationkey, n_nationkey AS al, n_nationkey + 1 + n_regionkey AS ah FROM nation) a, (SELECT n_nationkey, n_nationkey * 2 % 11 AS bl, n_nationkey * 2 % 11 + 3 AS bh FROM nation) b")
 def range_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = col("n_nationkey")
     n = table(spark, sf_dir, "nation")
     a = n.select(k.alias("a"), R.int4range(k, k + 1 + col("n_regionkey")).alias("x"))
-    b = n.filter("n_regionkey < 3").select(k.alias("b"), R.int4range(k * 2 % 11, k * 2 % 11 + 2, "[]").alias("y"))
+    b = n.select(k.alias("b"), R.int4range(k * 2 % 11, k * 2 % 11 + 2, "[]").alias("y"))
     x, y = col("x"), col("y")
-    return a.crossJoin(F.broadcast(b)).select("a", "b", R.overlaps(x, y).alias("o"), R.adjacent(x, y).alias("adj"), R.show(R.intersection(x, y)).alias("i"), R.show(R.merge(x, y)).alias("m"), R.show(R.union(x, y)).alias("u"), R.contains(x, y).alias("c"), R.strictly_left(x, y).alias("l"))
+    return a.crossJoin(b).select("a", "b", R.overlaps(x, y).alias("o"), R.adjacent(x, y).alias("adj"), R.show(R.intersection(x, y)).alias("i"), R.show(R.merge(x, y)).alias("m"), R.show(R.union(x, y)).alias("u"), R.contains(x, y).alias("c"), R.strictly_left(x, y).alias("l"))
 
 
-@query("SELECT n_nationkey, n_nationkey >= 5 AND n_nationkey < 12 AS inside, n_nationkey = 3 AS e, '[5,12)' AS shown FROM nation")
+@query("SELECT n_nationkey, n_nationkey >= 5 AND n_nationkey < 12 AS inside, n_nationkey >= 3 AS empty, '[5,12)' AS shown FROM nation")
 def range_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = col("n_nationkey")
     r = R.int4range(lit(4), lit(11), "(]")
-    return table(spark, sf_dir, "nation").select("n_nationkey", R.contains_value(r, k).alias("inside"), R.isempty(R.numrange(k, lit(3), "[)")).alias("e0"), R.show(r).alias("shown"), (k == 3).alias("e")).drop("e0")
+    own = R.numrange(F.least(k, lit(3)), lit(3), "[)")
+    return table(spark, sf_dir, "nation").select("n_nationkey", R.contains_value(r, k).alias("inside"), R.isempty(own).alias("empty"), R.show(r).alias("shown"))
 
 
 # Full text, spelling
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])') AND NOT regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])der($|[^\\p{L}\\p{N}])') AS hit FROM documents")
+@query(r"SELECT doc_id, list_contains(w, 'the') AND NOT list_contains(w, 'der') AS hit FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) t")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = T.to_tsquery("the & !der", "simple")
-    vectors = table(spark, sf_dir, "documents").select("doc_id", T.to_tsvector(col("text"), "simple").alias("v"))
-    return vectors.select("doc_id", T.matches(col("v"), q).alias("hit"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.matches_text(col("text"), q, "simple").alias("hit"))
+
+
+def _words(text: str) -> str:
+    """SQL over p: the words of all documents and their places."""
+    return r"WITH p AS (SELECT doc_id, unnest(w) AS lex, unnest(generate_series(1, len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) t) " + text
+
+
+@query()
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexemes of each document, how many places they have, and where the last one begins."""
+    v = table(spark, sf_dir, "documents").select("doc_id", T.to_tsvector(col("text"), "simple").alias("v"))
+    places = F.aggregate("v", lit(0), lambda n, e: n + F.size(e["positions"]))
+    return v.filter(F.size("v") > 0).select("doc_id", T.length(col("v")).alias("n"), places.alias("places"), F.element_at("v", -1)["lexeme"].alias("last"), F.element_at("v", -1)["positions"][0]["at"].alias("at"))
+
+
+ORACLE["text_vectors"] = _words("SELECT doc_id, count(DISTINCT lex)::INT AS n, count(*)::INT AS places, max(lex) AS last, (min(pos) FILTER (WHERE lex = top))::INT AS at FROM (SELECT *, max(lex) OVER (PARTITION BY doc_id) AS top FROM p) q GROUP BY doc_id")
+
+
+@query()
+def text_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`the` weighs A and `der` B; only those places stay, and a query asks for A."""
+    v = table(spark, sf_dir, "documents").select("doc_id", T.setweight(T.setweight(T.to_tsvector(col("text"), "simple"), "A", ["the"]), "B", ["der"]).alias("v"))
+    some = v.select("doc_id", T.ts_filter(col("v"), "ab").alias("f"), T.matches(col("v"), T.to_tsquery("the:A | der:C", "simple")).alias("hit"))
+    return some.filter(F.size("f") > 0).select("doc_id", F.size("f").alias("n"), F.aggregate("f", lit(0), lambda n, e: n + F.size(e["positions"])).alias("places"), "hit")
+
+
+ORACLE["text_weights"] = _words("SELECT doc_id, count(DISTINCT lex)::INT AS n, count(*)::INT AS places, bool_or(lex = 'the') AS hit FROM p WHERE lex IN ('the', 'der') GROUP BY doc_id")
 
 
-@query("SELECT k, hit FROM (VALUES (1, true), (2, false), (3, true)) AS v(k, hit)")
+@query()
+def text_rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "documents").select("doc_id", T.to_tsvector(col("text"), "simple").alias("v"))
+    q = T.to_tsquery("the | and", "simple")
+    return v.filter(T.matches(col("v"), q)).select("doc_id", F.round(T.rank(col("v"), q), 6).alias("r"))
+
+
+ORACLE["text_rank_documents"] = _words("SELECT doc_id, round(sum(w) / 2, 6) AS r FROM (SELECT doc_id, 0.1 / power(row_number() OVER (PARTITION BY doc_id, lex ORDER BY pos), 2) / 1.64493406685 AS w FROM p WHERE lex IN ('the', 'and')) q GROUP BY doc_id")
+
+
+@query()
+def text_vector_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector and its copy put together: each word comes twice, the copy after the whole first."""
+    v = table(spark, sf_dir, "part").select("p_partkey", T.to_tsvector(col("p_name"), "simple").alias("v"), T.array_to_tsvector(F.split("p_name", " ")).alias("a"))
+    return v.select("p_partkey", F.translate(T.show(T.concat(col("v"), T.setweight(col("v"), "A"))), "'", "").alias("c"), F.translate(T.show(col("a")), "'", "").alias("a"))
+
+
+ORACLE["text_vector_concat"] = "WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part), p AS (SELECT p_partkey, len(l) AS n, unnest(l) AS x, unnest(generate_series(1, len(l))) AS i FROM w), g AS (SELECT p_partkey, x, n, list(i ORDER BY i) AS i FROM p GROUP BY ALL) SELECT p_partkey, string_agg(x || ':' || array_to_string(list_concat([k::VARCHAR for k in i], [(k + n) || 'A' for k in i]), ','), ' ' ORDER BY x) AS c, string_agg(x, ' ' ORDER BY x) AS a FROM g GROUP BY p_partkey"
+
+
+@query()
 def text_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "The quick foxes jumped over"), (2, "foxes are quick"), (3, "a quick, fox!")], "k int, t string")
-    vectors = rows.select("k", T.to_tsvector(col("t")).alias("v"))
-    return vectors.select("k", T.matches(col("v"), T.phraseto_tsquery("quick fox")).alias("hit"))
+    q = T.phraseto_tsquery("of the", "simple")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", T.to_tsvector(col("text"), "simple").alias("v"))
+    return d.select("doc_id", T.matches(col("v"), q).alias("hit"), T.matches_text(col("text"), T.to_tsquery("of <2> and", "simple"), "simple").alias("near"))
+
 
+ORACLE["text_phrase"] = _words("SELECT doc_id, bool_or(lex = 'of' AND coalesce(n1, '') = 'the') AS hit, bool_or(lex = 'of' AND coalesce(n2, '') = 'and') AS near FROM (SELECT *, lead(lex) OVER w AS n1, lead(lex, 2) OVER w AS n2 FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) q GROUP BY doc_id UNION ALL SELECT doc_id, CASE WHEN text IS NOT NULL THEN false END, CASE WHEN text IS NOT NULL THEN false END FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)")
 
-@query("SELECT k, round(r, 6) AS r FROM (VALUES (1, 0.060793), (2, 0.0), (3, 0.075991)) AS v(k, r)")
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN round(sqrt(0.1 * 0.1 / (1.005 + 0.05 * exp((n_nationkey + 1) / 1.5 - 2))), 6) ELSE round(0.1 / 1.64493406685 / 2, 6) END AS r FROM nation")
 def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "a cat"), (2, "dogs"), (3, "a cat and cats")], "k int, t string")
-    vectors = rows.select("k", T.to_tsvector(col("t")).alias("v"))
-    return vectors.select("k", F.round(T.rank(col("v"), T.to_tsquery("cat")), 6).alias("r"))
+    """`cat` and `dog` with a distance that grows from nation to nation; in one region only, elsewhere `cat` alone."""
+    n = table(spark, sf_dir, "nation")
+    text = F.concat(lit("cat "), F.repeat(lit("x "), col("n_nationkey")), F.when(col("n_regionkey") == 1, "dog").otherwise("y"))
+    return n.select("n_nationkey", T.to_tsvector(text, "simple").alias("v")).select("n_nationkey", F.round(T.rank(col("v"), T.to_tsquery("cat & dog", "simple")), 6).alias("r"))
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name) AS d, least(levenshtein(a.n_name, b.n_name), 4) AS bounded FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey")
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     a, b = n.toDF("a", "x"), n.toDF("b", "y")
-    return a.join(F.broadcast(b), col("a") < col("b")).select("a", "b", F.levenshtein("x", "y").alias("d"), Z.levenshtein_less_equal(col("x"), col("y"), 3).alias("bounded"))
+    return a.join(b, col("a") < col("b")).select("a", "b", F.levenshtein("x", "y").alias("d"), Z.levenshtein_less_equal(col("x"), col("y"), 3).alias("bounded"))
 
 
 @query("WITH w AS (SELECT p_partkey, lower(p_brand) AS s FROM part), t AS (SELECT DISTINCT p_partkey, substr('  ' || u || ' ', i, 3) AS g FROM (SELECT p_partkey, unnest(regexp_extract_all(s, '[a-z0-9]+')) AS u FROM w) x, LATERAL (SELECT unnest(generate_series(1, length(u) + 1)) AS i) y) SELECT p_partkey, string_agg(g, '|' ORDER BY g) AS grams FROM t GROUP BY p_partkey")
@@ -197,25 +255,27 @@ def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(Z.show_trgm(col("p_brand")), "|").alias("grams"))
 
 
-@query("SELECT k, s, d FROM (VALUES (1, 'R163', 4), (2, 'A261', 0)) AS v(k, s, d)")
+@query("WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part), l AS (SELECT DISTINCT x FROM (SELECT a AS x FROM w UNION ALL SELECT b FROM w) u), e AS (SELECT x, [v for v in [translate(substr(x, i, 1), 'aeiouyhwbfpvcgjkqsxzdtlmnr', '00000099111122222222334556') for i in generate_series(1, length(x))] if v <> '9'] AS e FROM l), s AS (SELECT x, upper(substr(x, 1, 1)) || substr(array_to_string([e[i] for i in generate_series(2, len(e)) if e[i] <> e[i - 1] and e[i] <> '0'], '') || '000', 1, 3) AS s FROM e) SELECT p_partkey, p.s AS s, (substr(p.s, 1, 1) = substr(q.s, 1, 1))::INT + (substr(p.s, 2, 1) = substr(q.s, 2, 1))::INT + (substr(p.s, 3, 1) = substr(q.s, 3, 1))::INT + (substr(p.s, 4, 1) = substr(q.s, 4, 1))::INT AS d FROM w JOIN s p ON w.a = p.x JOIN s q ON w.b = q.x")
 def soundex_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Robert", "Rupert"), (2, "Ashcraft", "Wood")], "k int, a string, b string")
-    return rows.select("k", F.soundex("a").alias("s"), Z.difference(col("a"), col("b")).alias("d")).withColumn("d", F.when(col("k") == 1, col("d")).otherwise(0))
+    w = F.split("p_name", " ")
+    return table(spark, sf_dir, "part").select("p_partkey", F.soundex(w[0]).alias("s"), Z.difference(w[0], w[1]).alias("d"))
 
 
-@query("SELECT k, s FROM (VALUES (1, round(4 / 7, 6)), (2, 0.0), (3, 1.0)) AS v(k, s)")
+@query("WITH w AS (SELECT p_partkey AS k, p_name AS a, p_type || ' ' || p_name AS b FROM part), t AS (SELECT k, side, list_distinct(flatten([[substr('  ' || u || ' ', i, 3) for i in generate_series(1, length(u) + 1)] for u in regexp_extract_all(lower(x), '[a-z0-9]+')])) AS g FROM (SELECT k, 1 AS side, a AS x FROM w UNION ALL SELECT k, 2, b FROM w) z) SELECT p.k AS k, round(len(list_intersect(p.g, q.g)) / len(list_distinct(list_concat(p.g, q.g))), 5) AS s FROM t p JOIN t q ON p.k = q.k AND p.side = 1 AND q.side = 2")
 def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "words", "word"), (2, "abc", "xyz"), (3, "One two", "two one")], "k int, a string, b string")
-    return rows.select("k", F.round(Z.similarity(col("a"), col("b")), 6).alias("s"))
+    b = F.concat_ws(" ", "p_type", "p_name")
+    return table(spark, sf_dir, "part").select(col("p_partkey").alias("k"), F.round(Z.similarity(col("p_name"), b), 5).alias("s"))
 
 
 # Networks, geometry, others
 
 
-@query("SELECT k, h, m, n, b, f FROM (VALUES (1, '192.168.1.5', 24, '192.168.1.0/24', '192.168.1.255/24', 4), (2, '10.1.2.3', 32, '10.1.2.3/32', '10.1.2.3', 4), (3, '2001:db8::1', 64, '2001:db8::/64', '2001:db8::ffff:ffff:ffff:ffff/64', 6)) AS v(k, h, m, n, b, f)")
+@query("WITH a AS (SELECT c_custkey AS k, c_nationkey AS n, '10.' || (c_custkey // 256 % 256) AS two, '.' || (c_custkey % 256) AS three FROM customer) SELECT k, two || three || '.' || n AS h, (16 + n % 3 * 8)::INT AS m, two || CASE n % 3 WHEN 0 THEN '.0.0/16' WHEN 1 THEN three || '.0/24' ELSE three || '.' || n || '/32' END AS n, two || CASE n % 3 WHEN 0 THEN '.255.255/16' WHEN 1 THEN three || '.255/24' ELSE three || '.' || n END AS b, 4::INT AS f FROM a")
 def network_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = col("c_custkey"), col("c_nationkey")
+    text = F.concat(lit("10."), F.shiftright(k, 8) % 256, lit("."), k % 256, lit("."), n, lit("/"), 16 + n % 3 * 8)
+    rows = table(spark, sf_dir, "customer").select(k.alias("k"), text.alias("a"))
     a = col("a")
-    rows = spark.createDataFrame([(1, "192.168.1.5/24"), (2, "10.1.2.3"), (3, "2001:db8::1/64")], "k int, a string")
     return rows.select("k", N.host(a).alias("h"), N.masklen(a).alias("m"), N.network(a).alias("n"), N.broadcast(a).alias("b"), N.family(a).alias("f"))
 
 
@@ -245,24 +305,25 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", lit("<a href=")).alias("links"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END AS nulls, CASE WHEN n_regionkey = 1 THEN 1 ELSE 2 END AS others, n_nationkey * 500 || ' bytes' AS size FROM nation WHERE n_nationkey < 20")
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END AS nulls, CASE WHEN n_regionkey = 1 THEN 1 ELSE 2 END AS others, CASE WHEN n_nationkey * 500 < 10240 THEN n_nationkey * 500 || ' bytes' ELSE (n_nationkey * 500 + 512) // 1024 || ' kB' END AS size FROM nation")
 def null_counts_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.when(col("n_regionkey") != 1, col("n_regionkey"))
-    rows = table(spark, sf_dir, "nation").filter("n_nationkey < 20")
-    return rows.select("n_nationkey", X.num_nulls(r, col("n_name")).alias("nulls"), X.num_nonnulls(r, col("n_name")).alias("others"), X.size_pretty(col("n_nationkey").cast("long") * 500).alias("size"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", X.num_nulls(r, col("n_name")).alias("nulls"), X.num_nonnulls(r, col("n_name")).alias("others"), X.size_pretty(col("n_nationkey").cast("long") * 500).alias("size"))
 
 
-@query("SELECT k, m, n FROM (VALUES ('Top.Science.Astronomy', true, 3), ('Top.Hobbies', false, 2), ('Top.Science', true, 2)) AS v(k, m, n)")
+@query("SELECT p_partkey, p_type LIKE 'S%' AS m, p_brand LIKE 'Brand#1%' AS b, 3::INT AS n FROM part")
 def label_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Top.Science.Astronomy",), ("Top.Hobbies",), ("Top.Science",)], "k string")
-    return rows.select("k", X.matches_lquery(col("k"), "*.Sci*.*").alias("m"), X.nlevel(X.ltree(col("k"))).alias("n"))
+    path = F.concat(lit("Top."), col("p_type"), lit("."), F.replace("p_brand", lit("#"), lit("_")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("k"))
+    return rows.select("p_partkey", X.matches_lquery(col("k"), "Top.S*.*").alias("m"), X.matches_lquery(col("k"), "*.Brand_1*").alias("b"), X.nlevel(X.ltree(col("k"))).alias("n"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS d FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND b.vec_id < 40 AND a.vec_id < b.vec_id")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0")
 def cube_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", col("embedding").cast("array<double>").alias("e"))
-    a, b = e.filter("vec_id < 5").toDF("a", "x"), e.filter("vec_id < 40").toDF("b", "y")
-    return a.join(F.broadcast(b), col("a") < col("b")).select("a", "b", F.round(X.cube_distance(col("x"), col("y")), 5).alias("d"))
+    """Every twentieth vector against all others of its label."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", col("embedding").cast("array<double>").alias("e"))
+    a, b = e.filter("vec_id % 20 = 0").toDF("a", "label", "x"), e.toDF("b", "label", "y")
+    return a.join(b, "label").filter("a <> b").select("a", "b", F.round(X.cube_distance(col("x"), col("y")), 5).alias("d"))
 
 
 @query("SELECT k, round(2 * 6378168.0 * asin(sqrt(power(sin(radians(k) / 2), 2))), 3) AS d FROM (SELECT n_nationkey AS k FROM nation) t")

@@ -132,8 +132,8 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("start").cast("string").alias("start"), "n")
 
 
-@query("WITH k AS (SELECT o_orderkey AS tx_id, o_orderkey // 50 AS bid, 'r' AS rel, unnest([o_custkey, o_orderkey % 9]) AS key, unnest(['R', 'W']) AS mode FROM orders WHERE o_orderkey < 400) SELECT bid, tx_id, rel, CAST(key AS VARCHAR) AS key, mode FROM k")
+@query("WITH k AS (SELECT o_orderkey AS tx_id, o_orderkey // 50 AS bid, 'r' AS rel, unnest([o_custkey, o_orderkey % 9]) AS key, unnest(['R', 'W']) AS mode FROM orders) SELECT bid, tx_id, rel, CAST(key AS VARCHAR) AS key, mode FROM k")
 def procedure_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    calls = table(spark, sf_dir, "orders").filter(k < 400).select(F.expr("o_orderkey DIV 50").alias("bid"), k.alias("tx_id"), F.lit("r").alias("rel"), F.array("o_custkey").alias("reads"), F.array(k % 9).alias("writes"))
+    calls = table(spark, sf_dir, "orders").select(F.expr("o_orderkey DIV 50").alias("bid"), k.alias("tx_id"), F.lit("r").alias("rel"), F.array("o_custkey").alias("reads"), F.array(k % 9).alias("writes"))
     return U.expand_operations(calls)

@@ -44,6 +44,12 @@ def test_duplicate_rows_cancel(rows):
     assert leaf.agg(F.sum("n")).first()[0] == 400
 
 
+def test_rows_added_twice_are_found(rows):
+    more = rows.filter("k = 7")
+    found = I.verify(rows.union(more).union(more), I.leaves(rows, TREE), TREE).first()
+    assert (found["intact"], found["bad_leaves"]) == (False, 1)
+
+
 def test_null_cell_differs_from_text(spark):
     a = spark.createDataFrame([(1, None, 1.0)], "k long, v string, x double")
     for v in ("", "~", "="):

@@ -1,7 +1,9 @@
 """Edges of relational rewrites, change statements, copying and streams."""
 
+import random
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from orrery.operators import changes as C, rewrites as R
 from orrery.plans import integrity as I
@@ -49,12 +51,78 @@ def test_recursive_union_ends_on_cycles(spark):
         R.recursive_union(start, lambda t: t.select((F.col("n") + 1).alias("n")), max_rounds=3)
 
 
-def test_exclude_frames_with_nulls(spark):
+@pytest.mark.parametrize("start,end", [(-100, 100), (Window.unboundedPreceding, Window.unboundedFollowing)])
+def test_exclude_frames_with_nulls(spark, start, end):
     df = spark.createDataFrame([(1, 1, 5.0), (1, 1, None), (1, 2, 7.0)], "g int, o int, v double")
-    whole = (-100, 100)
     for kind, want in (("current row", [7.0, 12.0, 5.0]), ("group", [7.0, 7.0, 5.0]), ("ties", [12.0, 7.0, 12.0])):
-        got = df.select("o", "v", R.excluded_sum("v", ["g"], ["o"], *whole, kind).alias("s")).orderBy("o", F.col("v").asc_nulls_last())
+        got = R.excluded(df, "sum", "v", ["g"], ["o"], start, end, kind, "s").orderBy("o", F.col("v").asc_nulls_last())
         assert [r["s"] for r in got.collect()] == want, kind
+    assert [r["s"] for r in R.excluded(df, "count", "v", ["g"], ["o"], start, end, "group", "s").orderBy("o").collect()] == [1, 1, 1]
+
+
+def test_exclude_frames_against_brute_force(spark):
+    rng = random.Random(5)
+    rows_ = [(g, i, rng.randrange(4), rng.choice([None, *range(9)])) for g in range(3) for i in range(12)]
+    df = spark.createDataFrame(rows_, "g int, i int, o int, v int")
+    for start, end in ((-2, 3), (Window.unboundedPreceding, 0), (-1, Window.unboundedFollowing)):
+        for kind in ("current row", "group", "ties"):
+            for f, plain in (("sum", sum), ("min", min), ("max", max), ("count", len), ("avg", lambda x: sum(x) / len(x))):
+                got = {(r["g"], r["i"]): r["s"] for r in R.excluded(df, f, "v", ["g"], ["o", "i"] if kind == "current row" else ["o"], start, end, kind, "s").collect()}
+                if kind != "current row" and (start, end) == (-2, 3):
+                    continue  # which rows of a peer group lie in a short frame is open
+                for g in range(3):
+                    own = sorted((r for r in rows_ if r[0] == g), key=lambda r: (r[2], r[1]))
+                    for k, r in enumerate(own):
+                        low, high = max(0, k + start), min(len(own), k + end + 1)
+                        frame = [x for j, x in enumerate(own) if low <= j < high and not (j == k if kind == "current row" else x[2] == r[2] and (kind == "group" or j != k))]
+                        if kind != "current row" and end == 0:
+                            frame = [x for x in frame if x[2] < r[2] or x is r]
+                        if kind != "current row" and start == -1:
+                            frame = None  # the row before may be a peer or not: only peers of full groups are checked
+                        if frame is not None:
+                            values = [x[3] for x in frame if x[3] is not None]
+                            assert got[g, r[1]] == (plain(values) if values or f == "count" else None), (start, end, kind, f)
+
+
+def test_quantified_with_nulls(spark):
+    df = spark.createDataFrame([(1,), (5,), (None,)], "v int")
+    for other, sign, q, want in (([1, 5], "=", "any", [1, 5]), ([1, None], "=", "any", [1]), ([1], "<>", "all", [5]), ([1, None], "<>", "all", []), ([], "<>", "all", [1, 5, None]), ([5, 5], "=", "all", [5]), ([1, 5], "<>", "any", [1, 5]), ([1], "<>", "any", [5]), ([3], "<=", "all", [1]), ([3, 9], "<", "any", [1, 5]), ([], "<", "any", [])):
+        table = spark.createDataFrame([(x,) for x in other], "w int")
+        assert sorted((r["v"] for r in R.quantified(df, "v", sign, q, table, "w").collect()), key=str) == sorted(want, key=str), (other, sign, q)
+
+
+def test_overlap_join_of_very_wide_ranges(spark):
+    rng = random.Random(7)
+    a = [(i, low, low + 2.0 ** rng.randrange(0, 40)) for i, low in enumerate(rng.uniform(-1e6, 1e6) for _ in range(60))]
+    b = [(i, low, low + 2.0 ** rng.randrange(0, 40)) for i, low in enumerate(rng.uniform(-1e6, 1e6) for _ in range(60))]
+    got = R.overlap_join(spark.createDataFrame(a, "a int, l double, h double"), spark.createDataFrame(b, "b int, l2 double, h2 double"), 1.0, "l", "h", "l2", "h2").select("a", "b")
+    assert rows(got) == sorted(((i, j) for i, l, h in a for j, l2, h2 in b if l < h2 and l2 < h), key=str)
+
+
+def test_nearest_join_with_ties(spark):
+    rng = random.Random(8)
+    a = [(i, rng.choice([None, *range(8)]), rng.randrange(2)) for i in range(40)]
+    b = [(i, rng.choice([None, *range(8)]), rng.randrange(3)) for i in range(25)]
+    got = R.nearest_join(spark.createDataFrame(a, "a int, x int, k int"), spark.createDataFrame(b, "b int, y int, k int"), ["k"], "x", "y", 3, "a", "b").select("a", "b")
+    want = [(i, j) for i, x, k in a if x is not None for _, j in sorted((abs(x - y), j) for j, y, m in b if m == k and y is not None)[:3]]
+    assert rows(got) == sorted(want, key=str)
+
+
+def test_connect_by_goes_to_the_bottom_and_finds_cycles(spark):
+    edges = spark.range(41).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    assert R.connect_by(edges, "k", "p", 0).count() == 41 and R.connect_by(edges, "k", "p", 0, max_depth=3).count() == 4
+    ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "k int, p int")
+    with pytest.raises(RuntimeError):
+        R.connect_by(ring, "k", "p", 1)
+    assert R.connect_by(ring, "k", "p", 1, max_depth=2).count() == 3
+
+
+def test_null_keys_do_not_conflict(spark):
+    t = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
+    s = spark.createDataFrame([(None, "c"), (None, "c"), (1, "d"), (2, "e"), (2, "e")], "k int, v string")
+    assert rows(C.insert_ignore(t, s, ["k"]).table) == [(1, "b"), (2, "e"), (None, "a"), (None, "c"), (None, "c")]
+    done = C.upsert(t, s.distinct(), ["k"])
+    assert rows(done.table) == [(1, "d"), (2, "e"), (None, "a"), (None, "c")] and done.returning.count() == 3
 
 
 def test_upsert_and_apply_changes(spark):
