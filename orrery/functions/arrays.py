@@ -138,3 +138,33 @@ def query_int(a: Column, query: str) -> Column:
     if at != len(tokens):
         raise ValueError(f"malformed query: {query}")
     return out
+
+
+def append(a: Column, x: Column) -> Column:
+    """array_append(): a null array counts as empty."""
+    return F.concat(F.coalesce(a, F.filter(F.array(x), lambda _: F.lit(False))), F.array(x))
+
+
+def prepend(x: Column, a: Column) -> Column:
+    """array_prepend()."""
+    return F.concat(F.array(x), F.coalesce(a, F.filter(F.array(x), lambda _: F.lit(False))))
+
+
+def cat(a: Column, b: Column) -> Column:
+    """array_cat(): a null side is left out; two nulls are null."""
+    return F.coalesce(F.concat(a, b), a, b)
+
+
+def ndims(a: Column, depth: int = 1) -> Column:
+    """array_ndims(): null for an empty array; depth: of the nested type."""
+    return F.when(F.size(a) > 0, F.lit(depth))
+
+
+def lower(a: Column) -> Column:
+    """array_lower(): 1, or null for an empty array."""
+    return F.when(F.size(a) > 0, F.lit(1))
+
+
+def upper(a: Column) -> Column:
+    """array_upper()."""
+    return F.when(F.size(a) > 0, F.size(a))

@@ -125,3 +125,61 @@ def to_char(ts: Column, template: str) -> Column:
             c = template[i]
             out, i = out + (f"'{c}'" if c.isalpha() else c), i + 1
     return F.date_format(ts, out)
+
+
+def from_template(text: Column, template: str) -> Column:
+    """to_timestamp(): a time read by a template of TEMPLATES. Where the template has a blank or a mark, the text may have any run of these."""
+    names, i, groups, pattern = sorted(TEMPLATES, key=len, reverse=True), 0, [], r"^\s*"
+    kinds = {"Month": r"[A-Za-z]+", "Mon": r"[A-Za-z]{3}", "Day": r"[A-Za-z]+", "Dy": r"[A-Za-z]{3}", "AM": r"[AaPp][Mm]", "PM": r"[AaPp][Mm]", "YYYY": r"\d{4}", "MS": r"\d{1,3}", "US": r"\d{1,6}", "DDD": r"\d{1,3}"}
+    while i < len(template):
+        name = next((n for n in names if template.startswith(n, i)), None)
+        if name:
+            groups.append(name)
+            pattern, i = pattern + f"({kinds.get(name, r'\d{1,2}')})", i + len(name)
+        else:
+            pattern, i = pattern + (r"\W*" if not template[i].isalnum() else ".?"), i + 1
+    part = {n: F.regexp_extract(text, pattern, k + 1) for k, n in enumerate(groups)}
+    number = lambda n, other: part[n].cast("int") if n in part else F.lit(other)
+    month = number("MM", 1)
+    for n in ("Month", "Mon"):
+        if n in part:
+            month = F.month(F.to_date(F.concat(F.lit("2000-"), F.initcap(F.substring(part[n], 1, 3)), F.lit("-01")), "yyyy-MMM-dd"))
+    hour = number("HH24", 0)
+    if "HH12" in part:
+        late = F.lower(part["PM"] if "PM" in part else part["AM"]) == "pm" if {"AM", "PM"} & set(part) else F.lit(False)
+        hour = number("HH12", 0) % 12 + F.when(late, 12).otherwise(0)
+    second = number("SS", 0).cast("decimal(16,6)")
+    for n, width in (("MS", 3), ("US", 6)):
+        if n in part:
+            second = second + F.concat(F.lit("0."), F.rpad(part[n], width, "0")).cast("decimal(16,6)")
+    day = F.make_date(number("YYYY", 1), month, number("DD", 1))
+    day = F.date_add(F.make_date(number("YYYY", 1), F.lit(1), F.lit(1)), number("DDD", 1) - 1) if "DDD" in part else day
+    whole = F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), hour, number("MI", 0), second)
+    return F.when(text.rlike(pattern), whole)
+
+
+def to_date(text: Column, template: str) -> Column:
+    return from_template(text, template).cast("date")
+
+
+def to_number(text: Column, template: str) -> Column:
+    """Digits, sign and decimal point of a text by a template of 9, 0, comma or G, point or D, S, MI and PR; the rest is skipped."""
+    places = len(template.upper().replace("D", ".").partition(".")[2].translate({ord(c): None for c in "SMIPR "}))
+    plain = F.regexp_replace(text, "[^0-9.]", "")
+    negative = text.contains("-") | text.rlike(r"^\s*<.*>\s*$")
+    value = plain.cast(f"decimal(38,{places})")
+    return F.when(negative, -value).otherwise(value)
+
+
+def now() -> Column:
+    """now(), transaction_timestamp(): one time for all rows and uses of a statement."""
+    return F.current_timestamp()
+
+
+def timezone(zone: Column | str, ts: Column) -> Column:
+    """ts AT TIME ZONE zone: a time of day there for a moment."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone) if isinstance(zone, str) else zone, ts.cast("timestamp_ntz"))
+
+
+def make_timestamptz(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: str = "UTC") -> Column:
+    return F.make_timestamp_ltz(year, month, day, hour, minute, second, F.lit(zone))

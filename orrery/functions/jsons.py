@@ -131,3 +131,27 @@ def set_path(text: Column, steps: list[str | int], value: Any, create: bool = Tr
         return a.map(lambda x: None if x is None else json.dumps(put(json.loads(x), steps), separators=(",", ":"), ensure_ascii=False))
 
     return run(text)
+
+
+def json_agg(value: Column, *order: Column) -> Column:
+    """json_agg(): an array of a group's values, nulls too, in the order given."""
+    row = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.to_json(F.array(value)).alias("v"))
+    listed = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.substr(x["v"], F.lit(2), F.length(x["v"]) - 2))
+    return F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]"))
+
+
+def json_object_agg(key: Column, value: Column) -> Column:
+    """json_object_agg(): members in the order of their keys."""
+    member = F.struct(key.cast("string").alias("k"), F.concat(F.to_json(F.array(key.cast("string"))), F.to_json(F.array(value))).alias("kv"))
+    shown = F.transform(F.array_sort(F.collect_list(member)), lambda x: F.regexp_replace(x["kv"], r'^\[(".*")\]\[(.*)\]$', "$1 : $2"))
+    return F.concat(F.lit("{ "), F.array_join(shown, ", "), F.lit(" }"))
+
+
+def populate_record(text: Column, ddl: str) -> Column:
+    """jsonb_populate_record(): a struct of the columns of ddl; members that it doesn't name are dropped, absent ones are null."""
+    return F.from_json(text, ddl)
+
+
+def populate_recordset(text: Column, ddl: str) -> Column:
+    """jsonb_populate_recordset(): an array of such structs."""
+    return F.from_json(text, f"array<struct<{','.join(':'.join(x.split()) for x in ddl.split(','))}>>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def trunc(x: Column, digits: int = 0) -> Column:
@@ -96,3 +96,22 @@ def scale(text: Column) -> Column:
 
 def min_scale(text: Column) -> Column:
     return F.length(F.regexp_extract(text, r"\.(\d*?)0*$", 1))
+
+
+def acosh(x: Column) -> Column:
+    """NaN below 1."""
+    return F.acosh(x)
+
+
+def atanh(x: Column) -> Column:
+    """Infinite at 1 and -1, NaN beyond."""
+    return F.when(F.abs(x) == 1, x * F.lit(float("inf"))).otherwise(F.atanh(x))
+
+
+def asinh(x: Column) -> Column:
+    return F.asinh(x)
+
+
+def normal_rand(spark: SparkSession, rows: int, mean: float, deviation: float, seed: int = 0) -> DataFrame:
+    """normal_rand(): rows of normally distributed numbers; a seed gives the same ones."""
+    return spark.range(rows).select((F.randn(seed) * deviation + mean).alias("normal_rand"))

@@ -212,3 +212,26 @@ def unaccent(s: Column) -> Column:
 
 def to_ascii(s: Column) -> Column:
     return F.regexp_replace(F.translate(s, MARKED, PLAIN), r"[^\x00-\x7F]", " ")
+
+
+def initcap(s: Column) -> Column:
+    """Each run of letters and digits in lower case with its first letter in upper case, whatever parts the runs."""
+    words = F.regexp_extract_all(F.lower(s), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+
+
+def starts_with(s: Column, prefix: Column) -> Column:
+    return F.startswith(s, prefix)
+
+
+def convert_to(s: Column, encoding: str) -> Column:
+    """Bytes of a text in UTF8, LATIN1, UTF16 or SQL_ASCII."""
+    return F.encode(s, ENCODINGS[encoding.upper()])
+
+
+def convert_from(b: Column, encoding: str) -> Column:
+    return F.decode(b, ENCODINGS[encoding.upper()])
+
+
+#: Encodings by the names that conversions take, and those that Spark knows them by: fixed values.
+ENCODINGS = {"UTF8": "UTF-8", "LATIN1": "ISO-8859-1", "UTF16": "UTF-16", "SQL_ASCII": "US-ASCII"}

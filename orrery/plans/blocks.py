@@ -106,3 +106,35 @@ def latencies(txs: DataFrame, start: str, end: str) -> DataFrame:
     """Percentiles of the seconds from start to end."""
     s = F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))
     return txs.select((s / 1e6).alias("s")).agg(F.count("s").alias("n"), F.percentile("s", 0.5).alias("p50"), F.percentile("s", 0.95).alias("p95"), F.max("s").alias("most"))
+
+
+def submit(pending: DataFrame, next_block: int, size: int = MAX_TXS, seconds: float | None = None, per_second: float | None = None) -> DataFrame:
+    """Transactions in order of arrival (seq) put into blocks: bid, position and, if paced, the second at which each is due.
+
+    A block takes `size` of them, or as many as come in `seconds` at `per_second`. seq counts from 0 without gaps.
+    """
+    per = size if seconds is None or per_second is None else max(1, min(size, int(seconds * per_second)))
+    seq = F.col("seq")
+    out = pending.withColumn("bid", (F.floor(seq / per) + next_block).cast("long")).withColumn("position", (seq % per).cast("int"))
+    return out if per_second is None else out.withColumn("due", seq / per_second)
+
+
+def attach(txs: DataFrame, bid: int, block: DataFrame) -> DataFrame:
+    """Further transactions (hash, sql) behind those of a block: ids go on without gaps by hash."""
+    last = block.filter(F.col("bid") == bid).agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("_from"))
+    place = F.row_number().over(Window.orderBy("hash")) - 1  # what one block may hold at most
+    return block.unionByName(txs.withColumn("_n", place).crossJoin(F.broadcast(last)).select(F.lit(bid).cast(block.schema["bid"].dataType).alias("bid"), (F.col("_from") + F.col("_n")).cast(block.schema["position"].dataType).alias("position"), "hash", "sql"))
+
+
+def results(txs: DataFrame, flags: DataFrame, hashes: DataFrame) -> DataFrame:
+    """What became of transactions asked for by hash: COMMITTED, ABORTED, PENDING (in no decided block) or UNKNOWN."""
+    known = hashes.join(txs.select("hash", "bid", "tx_id"), "hash", "left").join(flags.select("bid", "tx_id", "committed"), ["bid", "tx_id"], "left")
+    status = F.when(F.col("tx_id").isNull(), "UNKNOWN").when(F.col("committed").isNull(), "PENDING").when(F.col("committed"), "COMMITTED").otherwise("ABORTED")
+    return known.select("hash", "bid", "tx_id", status.alias("status"))
+
+
+def throughput(txs: DataFrame, ended: str, width: str = "1 second") -> DataFrame:
+    """Per window of time: transactions that ended, committed ones, and these by second."""
+    w = F.window(F.col(ended).cast("timestamp"), width)
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    return txs.groupBy(w.alias("w")).agg(F.count("*").alias("ended"), F.count_if("committed").alias("committed")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "ended", "committed", (F.col("committed") / seconds).alias("per_second"))

@@ -77,6 +77,16 @@ def sample_blocks(spark: SparkSession, path: str, percent: float, seed: int = 0,
     return df.filter(place < int(percent * 10_000)).drop("file", "row_index")
 
 
+def sample_rows(df: DataFrame, rows: int, seed: int = 0) -> DataFrame:
+    """SYSTEM_ROWS: that many random rows, or all. Each task keeps its `rows` least random numbers, so nothing is sorted as a whole."""
+    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(rows).drop("_r")
+
+
+def sample_time(df: DataFrame, milliseconds: int, rows_per_second: int, seed: int = 0) -> DataFrame:
+    """SYSTEM_TIME: about as many random rows as are read in that time at a stated speed, so that the same call gives the same sample."""
+    return sample_rows(df, max(1, milliseconds * rows_per_second // 1000), seed)
+
+
 class Cursor:
     """FETCH and MOVE over an ordered result; rows come to the driver a piece at a time."""
 
