@@ -136,10 +136,15 @@ def apply_changes(leaf_table: DataFrame, inserted: DataFrame | None, deleted: Da
             parts.append(leaves(inserted, tree, **options))
         if deleted is not None:
             parts.append(leaves(deleted, tree, **options).withColumn("n", -F.col("n")))
-    merged = parts[0]
+    together = parts[0]
     for p in parts[1:]:
-        merged = merged.unionByName(p)
-    out = merged.groupBy("leaf").agg(*xor_words(), F.sum("n").alias("n"))
+        together = together.unionByName(p)
+    return merged(together)
+
+
+def merged(leaf_tables: DataFrame) -> DataFrame:
+    """One table of leaves from the rows of several; leaves that come out empty are left out."""
+    out = leaf_tables.groupBy("leaf").agg(*xor_words(), F.sum("n").alias("n"))
     return out.filter((F.col("n") != 0) | (F.greatest(*WORDS) != 0))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from orrery.functions import routines as U
 from orrery.queries import distinguishing as Q
@@ -96,7 +96,7 @@ def prepared_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(Q.CUSTOMER_LEAVES)
 def stream_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "customer").schema
-    state = S.State(spark, "tree", S.LEAVES)
+    state = S.tree_state(spark)
     S.maintain_tree(S.files(spark, sf_dir, "customer.parquet", schema), Q.TREE, state, new_path(spark, "offsets"), integer_key=True, columns=Q.CUSTOMER)
     return state.read()
 
@@ -106,7 +106,7 @@ def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "sets")
     Q._sets(spark, sf_dir).repartitionByRange(3, "bid").sortWithinPartitions("bid").write.parquet(path)
     schema = spark.read.parquet(path).schema
-    state = S.State(spark, "flags", S.FLAGS)
+    state = S.flag_state(spark)
     S.commit_blocks(S.files(spark, path, "*.parquet", schema), state, new_path(spark, "offsets"))
     return state.read()
 
@@ -115,7 +115,8 @@ def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = S.files(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
     rows = events.select(F.when(F.col("event_id") % 7 == 0, "delete").otherwise("update").alias("op"), F.col("event_id").alias("seq"), F.col("user_id").alias("k"), F.col("value").alias("v"))
-    state = S.State(spark, "replica", "k long, v double")
+    changes = T.StructType.fromDDL("op string, seq long, k long, v double")
+    state = S.replica_state(spark, T.StructType.fromDDL("k long, v double"), changes, ["k"])
     S.replicate(rows, ["k"], state, new_path(spark, "offsets"))
     return state.read()
 

@@ -162,14 +162,30 @@ def test_cursor(spark):
     assert [r["id"] for r in c.fetch(3)] == [0, 1, 2] and c.move(5) == 5 and [r["id"] for r in c.fetch(9)] == [8, 9]
 
 
-def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
-    """Files come in between two runs; the state equals that of all rows at once."""
+@pytest.mark.parametrize("every", [1, 2, 16])
+def test_stream_restarts_from_its_checkpoint(spark, tmp_path, every):
+    """Files come in between two runs; the state equals that of all rows at once, however often its parts are merged."""
     source, tree = tmp_path / "in", I.Tree(("k",), 2, 4)
     df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).cast("string").alias("v"))
-    state, checkpoint = feeds.State(spark, "tree", feeds.LEAVES), storage.new_path(spark, "offsets")
-    for part in range(3):
-        df.filter(F.col("k") % 3 == part).coalesce(1).write.mode("append").parquet(str(source))
+    state, checkpoint = feeds.tree_state(spark, every=every), storage.new_path(spark, "offsets")
+    for part in range(4):
+        df.filter(F.col("k") % 4 == part).coalesce(1).write.mode("append").parquet(str(source))
         feeds.maintain_tree(feeds.files(spark, str(source), "*.parquet", df.schema), tree, state, checkpoint)
     assert I.differences(state.read(), I.leaves(df, tree)).count() == 0
-    state.update(state.last(), lambda leaves: I.apply_changes(leaves, df.filter(F.col("k") % 3 == 2), None, tree).select(*leaves.columns))
+    state.add(state.last(), I.leaves(df.filter(F.col("k") % 4 == 3), tree))
     assert I.differences(state.read(), I.leaves(df, tree)).count() == 0  # the last batch again: still once
+    kept = storage.names(spark, state.path)
+    assert len([n for n in kept if n[0] == "v"]) <= 2 and (every > 2 or len(kept) <= 2 + 2 * every)
+
+
+def test_replica_over_batches(spark):
+    changes = "op string, seq long, k int, v string"
+    schema = spark.createDataFrame([], changes).schema
+    state = feeds.replica_state(spark, spark.createDataFrame([], "k int, v string").schema, schema, ["k"], every=2)
+    log = [("insert", 1, 1, "a"), ("insert", 2, 2, "b"), ("update", 3, 1, "c"), ("delete", 4, 2, None), ("insert", 5, 3, "d"), ("truncate", 6, None, None), ("insert", 7, 4, "e")]
+    for i in range(0, len(log), 2):
+        state.add(i // 2, spark.createDataFrame(log[i : i + 2], schema))
+        want = {}
+        for op, _, k, v in log[: i + 2]:
+            want = {} if op == "truncate" else {**{x: y for x, y in want.items() if x != k}, **({} if op == "delete" else {k: v})}
+        assert dict(map(tuple, state.read().collect())) == want
