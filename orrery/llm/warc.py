@@ -23,8 +23,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from orrery.llm.store import AtomicFile, discard, new_path, open_fs, settled, small_batches
 
 CHUNK = 1 << 16
-#: Longest header block that the reader accepts.
-MAX_HEADER = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "uri string, records long, bytes long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean"
@@ -69,7 +67,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
     payloads of at least `min_bytes` bytes those with the smallest id are responses
     and the others revisit it; smaller payloads are always responses. A null text
     is an empty payload, a null url gives no WARC-Target-URI, a row without an id is a response;
-    rows alike in id and payload are all responses. An empty table gives no archive.
+    rows alike in id and payload are all responses. Urls and texts may have any length. An empty table gives no archive.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -119,8 +117,10 @@ class _Member:
         return False
 
     def until(self, mark: bytes) -> bytes:
-        while (at := self.held.find(mark)) < 0:
-            if len(self.held) > MAX_HEADER or not self.more():
+        begin = 0
+        while (at := self.held.find(mark, begin)) < 0:
+            begin = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
                 raise DamagedArchive("a record has no header")
         found, self.held = self.held[:at], self.held[at + len(mark) :]
         return found

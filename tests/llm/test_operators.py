@@ -105,6 +105,12 @@ def test_warc_rows_alike_and_without_id(spark):
     assert sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in warc.archive(df).collect()) == [(-1, "response", None), (5, "response", None), (5, "response", None), (6, "revisit", 5)]
 
 
+def test_warc_of_very_long_urls(spark):
+    url = "http://x/" + "é" * 1_500_000
+    got = warc.archive(spark.createDataFrame([(1, url, "a"), (2, "u", "b")], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["url"] for r in got} == {1: url, 2: "u"}
+
+
 def test_warc_damage_is_found():
     good = warc._record(1, "u", b"hello world" * 50, None, "d")
     assert [r["intact"] for r in warc.read_records(io.BytesIO(warc._gzip(good) + warc._gzip(good)))] == [True, True]
