@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.llm.store import discard, keyed, settled
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words: all of ASCII but letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window; an item of fewer is one window.
 WIDTH = 10
 #: Bytes of window tables that may be sent to every executor; beyond it they are joined by shuffles.
@@ -23,7 +24,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text, A-Z in lower case; a text of ASCII alone has no other letters to leave as they are."""
+    known = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(known) == F.length(known), F.lower(known)).otherwise(F.translate(known, _UPPER, _LOWER))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
