@@ -155,3 +155,38 @@ def populate_record(text: Column, ddl: str) -> Column:
 def populate_recordset(text: Column, ddl: str) -> Column:
     """jsonb_populate_recordset(): an array of such structs."""
     return F.from_json(text, f"array<struct<{','.join(':'.join(x.split()) for x in ddl.split(','))}>>")
+
+
+def insert_path(text: Column, steps: list[str | int], value: Any, after: bool = False) -> Column:
+    """jsonb_insert(): a new element before (or after) that of the path, or a new member; an existing member stays and is an error in SQL, here a null."""
+
+    def put(v: Any, rest: list[str | int]) -> Any:
+        s, more = rest[0], rest[1:]
+        if isinstance(v, dict) and isinstance(s, str):
+            if more:
+                return v | {s: put(v[s], more)} if s in v else v
+            return None if s in v else v | {s: value}
+        if isinstance(v, list) and isinstance(s, int):
+            at = s if s >= 0 else len(v) + s
+            if more:
+                return [*v[:at], put(v[at], more), *v[at + 1 :]] if 0 <= at < len(v) else v
+            at = min(max(at + after, 0), len(v))
+            return [*v[:at], value, *v[at:]]
+        return v
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series) -> pd.Series:
+        done = a.map(lambda x: None if x is None else put(json.loads(x), steps))
+        return done.map(lambda x: None if x is None else json.dumps(x, separators=(",", ":"), ensure_ascii=False))
+
+    return run(text)
+
+
+def pretty(text: Column) -> Column:
+    """jsonb_pretty(): indented by four blanks, members in jsonb's order."""
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series) -> pd.Series:
+        return a.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=4, ensure_ascii=False))
+
+    return run(normal(text))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,40 @@ def product(value: Column) -> Column:
     return F.aggregate(F.collect_list(value.cast("double")), F.lit(1.0), lambda a, x: a * x)
 
 
+def aggregate(df: DataFrame, keys: list[str], value: str, zero: object, step: Callable[[Any, pd.Series], Any], combine: Callable[[Any, Any], Any], finish: Callable[[Any], Any], returns: str, most_keys: int = 100_000) -> DataFrame:
+    """CREATE AGGREGATE: a state per group that takes values (step), meets other states (combine) and gives the result (finish).
+
+    Each task keeps states of at most `most_keys` groups and hands on one row for each, so that a hot group is summed where its
+    rows are before it is shuffled. Nulls of the value are skipped; a group of nulls gives finish(zero).
+    """
+    kept = df.select(*keys, value)
+    fields = [kept.schema[k] for k in keys]
+    partial = T.StructType([*fields, T.StructField("_state", T.BinaryType())])
+
+    def begin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[tuple, Any] = {}
+
+        def flushed() -> pd.DataFrame:
+            return pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "_state"])
+
+        for part in parts:
+            for key, rows in part.groupby(keys, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                known = rows[value].dropna()
+                states[key] = step(states.get(key, zero), known) if len(known) else states.get(key, zero)
+            if len(states) >= most_keys:
+                yield flushed()
+                states.clear()
+        if states:
+            yield flushed()
+
+    def end(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state = reduce(combine, map(pickle.loads, rows["_state"]))
+        return pd.DataFrame([(*key, finish(state))], columns=[*keys, "result"])
+
+    return kept.mapInPandas(begin, partial).groupBy(*keys).applyInPandas(end, T.StructType([*fields, T.StructField("result", T._parse_datatype_string(returns))]))
+
+
 @udtf(returnType="word string, place int")
 class SplitWords:
     """A set-returning function: words and their places."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[\p{L}\p{N}]+"
 #: Common English words that are not indexed: fixed values, those of the Snowball project's English list.
@@ -387,3 +387,52 @@ def headline(text: Column, q: Query, start: str = "<b>", stop: str = "</b>") ->
     endings = {str(w): re.escape(w.word) + (r"\w*" if w.prefix else "(?:s|ed|ing|es)?") for w in q.leaves()}
     alternatives = "|".join(sorted(endings.values(), key=len, reverse=True))
     return F.regexp_replace(text, rf"(?i)\b((?:{alternatives}))\b", f"{start}$1{stop}")
+
+
+def ts_stat(df: DataFrame, vector: str) -> DataFrame:
+    """word, ndoc (vectors that have it) and nentry (its places in all of them)."""
+    each = df.select(F.explode(vector).alias("e")).select(F.col("e.lexeme").alias("word"), F.size("e.positions").alias("n"))
+    return each.groupBy("word").agg(F.count("*").alias("ndoc"), F.sum(F.greatest("n", F.lit(1))).alias("nentry"))
+
+
+def ts_rewrite(q: Query | None, target: Query, substitute: Query | None) -> Query | None:
+    """q with each part that equals target replaced; without a substitute the part goes."""
+    if q is None or str(q) == str(target):
+        return q and substitute
+    if q.kind == "word":
+        return q
+    parts = [ts_rewrite(p, target, substitute) for p in q.parts]
+    if q.kind == "!":
+        return Query("!", parts[0]) if parts[0] else None
+    left = [p for p in parts if p]
+    return Query(q.kind, *left, distance=q.distance) if len(left) == 2 else left[0] if left else None
+
+
+def querytree(q: Query | None) -> str:
+    """The part of a query that an index can look for: T if that is nothing."""
+
+    def plain(p: Query) -> Query | None:
+        if p.kind == "word":
+            return p
+        if p.kind == "!":
+            return None
+        a, b = (plain(x) for x in p.parts)
+        if p.kind == "|":
+            return Query("|", a, b) if a and b else None
+        return Query(p.kind, a, b, distance=p.distance) if a and b else a or b
+
+    found = q and plain(q)
+    return "" if q is None else str(found) if found else "T"
+
+
+def dict_int(word: Column, most: int = 6, reject: bool = False) -> Column:
+    """A dictionary of integers: digits past `most` are cut off, or the word is a stop word."""
+    digits = F.regexp_replace(word, r"^[+-]", "")
+    kept = F.filter(F.array(word), lambda w: F.length(digits) <= most) if reject else F.array(F.when(F.length(digits) > most, F.substring(word, 1, most)).otherwise(word))
+    return F.when(word.rlike(r"^[+-]?\d+$"), kept)
+
+
+def dict_xsyn(word: Column, synonyms: dict[str, Sequence[str]], keep: bool = True) -> Column:
+    """A dictionary of synonyms: a word's, with itself before them if asked for; null for one that it doesn't know."""
+    table = F.create_map(*(x for k, v in synonyms.items() for x in (F.lit(k.lower()), F.array(*map(F.lit, [k.lower()] * keep + [s.lower() for s in v])))))
+    return F.try_element_at(table, F.lower(word))

@@ -104,3 +104,15 @@ def table_to_xml(df: DataFrame, table: str, nulls: bool = False) -> DataFrame:
 def query_to_xml(spark: SparkSession, statement: str, nulls: bool = False) -> DataFrame:
     """table_to_xml() of a statement's rows."""
     return table_to_xml(spark.sql(statement), "row", nulls)
+
+
+def column_size(value: Column) -> Column:
+    """Bytes of a value: of its text or bytes, else those of its fixed width."""
+    widths = F.create_map(*(F.lit(x) for pair in {"int": 4, "bigint": 8, "smallint": 2, "double": 8, "float": 4, "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}.items() for x in pair))
+    return F.coalesce(F.try_element_at(widths, F.typeof(value)), F.octet_length(value.cast("string")))
+
+
+def relation_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a stored table's files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()

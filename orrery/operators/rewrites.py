@@ -287,3 +287,10 @@ def connect_by(edges: DataFrame, key: str, parent: str, start: object, max_depth
         k = F.col(key)
         down.select(k.alias("key"), F.col(parent).alias("parent"), F.lit(level).alias("level"), F.concat("branch", F.lit("~"), k.cast("string")).alias("branch"), F.concat("_path", F.array(k)).alias("_path")).write.parquet(f"{path}/{level}")
     return spark.read.schema(schema).parquet(*(f"{path}/{i}" for i in range(level))).drop("_path")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """WITH ... AS MATERIALIZED: worked out once, in the shared folder, and read as often as it is used."""
+    path = new_path(df.sparkSession, "materialized")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

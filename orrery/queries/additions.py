@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.functions import arrays as A, datetimes as D, jsons as J, maths as M, strings as S, system as Y
-from orrery.operators import changes as C
+from orrery.functions import extras as X, routines as U, search as T
+from orrery.operators import changes as C, rewrites as R
+from orrery.operators.policies import Policies, Policy, published
 from orrery.plans import blocks as B
 from orrery.queries.distinguishing import _FLAGS, _sets, _transactions
 from orrery.queries.registry import ORACLE, query, sql, table
@@ -194,3 +196,120 @@ def block_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql("order_by_using", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM {customer} WHERE c_nationkey = 5")
 sql("fetch_first_ties", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM {part}) t WHERE r <= 10")
+
+
+@query("SELECT event_id, '{\"a\":[1,' || event_id || ',' || json_extract_string(props, '$.k') || ']}' AS a, '{\"k\":' || json_extract_string(props, '$.k') || ',\"n\":1}' AS b, '{' || chr(10) || '    \"k\": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS c FROM (SELECT *, 5 AS x FROM events) t")
+def json_insert_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = J.path(col("props"), "k")
+    doc = F.concat(lit('{"a":['), col("event_id"), lit(","), k, lit("]}"))
+    rows = table(spark, sf_dir, "events").select("event_id", "props", doc.alias("d"))
+    return rows.select("event_id", J.insert_path(col("d"), ["a", 0], 1).alias("a"), J.insert_path(col("props"), ["n"], 1).alias("b"), J.pretty(col("props")).alias("c"))
+
+
+@query("SELECT c_custkey, strlen(c_name)::INT AS a, 8::INT AS b, 4::INT AS c, true AS r FROM customer")
+def value_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = Y.relation_size(spark, f"{sf_dir}/customer.parquet")
+    return table(spark, sf_dir, "customer").select("c_custkey", Y.column_size(col("c_name")).alias("a"), Y.column_size(col("c_acctbal")).alias("b"), Y.column_size(col("c_nationkey")).alias("c"), lit(size > 0).alias("r"))
+
+
+@query("SELECT n_regionkey, count(*) AS old_rows, 2 * count(*) AS new_keys, min(n_nationkey) AS least FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey")
+def transition_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement trigger's OLD and NEW tables: an update's rows before and after it, joined by their key."""
+    n = table(spark, sf_dir, "nation")
+    new = C.update_where(n, col("n_regionkey") < 3, {"n_name": F.upper("n_name")}).returning
+    old = n.join(new.select("n_nationkey"), "n_nationkey", "left_semi")
+    both = old.select("n_nationkey", "n_regionkey").join(new.select("n_nationkey", col("n_name").alias("after")), "n_nationkey")
+    return both.groupBy("n_regionkey").agg(F.count("*").alias("old_rows"), (F.count("after") * 2).alias("new_keys"), F.min("n_nationkey").alias("least"))
+
+
+def _foreign(spark: SparkSession, sf_dir: str) -> str:
+    """nation and region in another database (Derby, which comes with Spark), in this process's memory; its url."""
+    url = "jdbc:derby:memory:orrery;create=true"
+    for name in ("nation", "region"):
+        table(spark, sf_dir, name).coalesce(1).write.mode("overwrite").option("createTableColumnTypes", f"{name[0]}_name VARCHAR(100)").jdbc(url, name, properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    return url
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 3")
+def foreign_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters and columns are pushed to the other database."""
+    found = copying.foreign_table(spark, _foreign(spark, sf_dir), "nation", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    return found.select("n_nationkey", "n_name", "n_regionkey").filter("n_regionkey = 1 AND n_nationkey > 3").select("n_nationkey", "n_name")
+
+
+@query("SELECT r_name, count(*)::INT AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def foreign_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join and an aggregate that the other database works out, as a query sent to it."""
+    statement = 'SELECT "r_name", count(*) AS "n" FROM nation JOIN region ON "n_regionkey" = "r_regionkey" GROUP BY "r_name"'
+    return copying.foreign_table(spark, _foreign(spark, sf_dir), query=statement, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+
+
+@query("SELECT n_nationkey FROM nation")
+def foreign_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four reads by ranges of the key."""
+    found = copying.foreign_table(spark, _foreign(spark, sf_dir), "nation", partition=("n_nationkey", 0, 25, 4), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    return found.select("n_nationkey")
+
+
+@query()
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "documents").select(T.to_tsvector(col("text"), "simple").alias("v"))
+    return T.ts_stat(v, "v")
+
+
+ORACLE["text_statistics"] = r"SELECT lex AS word, count(DISTINCT doc_id) AS ndoc, count(*) AS nentry FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS lex FROM documents) t GROUP BY lex"
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey >= 100 THEN left(CAST(c_custkey AS VARCHAR), 2) ELSE CAST(c_custkey AS VARCHAR) END AS cut, c_custkey < 100 AS kept, CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 2 END::INT AS n FROM customer")
+def text_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = col("c_custkey").cast("string")
+    synonyms = T.dict_xsyn(col("c_mktsegment"), {"building": ["house", "tower"], "machinery": ["engine"]})
+    return table(spark, sf_dir, "customer").select("c_custkey", T.dict_int(k, 2)[0].alias("cut"), (F.size(T.dict_int(k, 2, reject=True)) > 0).alias("kept"), F.when(synonyms.isNotNull(), F.size(synonyms)).alias("n"))
+
+
+@query("SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS row, n_nationkey::VARCHAR AS k, CASE WHEN n_nationkey % 3 > 0 THEN n_name END AS name FROM nation")
+def xml_path_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.concat(lit("<n><k>"), col("n_nationkey"), lit("</k>"), F.when(col("n_nationkey") % 3 > 0, F.concat(lit("<name>"), "n_name", lit("</name>"))).otherwise(""), lit("</n>"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("x")))), lambda e: e["x"])
+    docs = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(lit("<r>"), F.array_join(rows, ""), lit("</r>")).alias("x"))
+    return X.xpath_table(docs, "n_regionkey", "x", "/r/n", k="k", name="name")
+
+
+@query("SELECT 'sales' AS role, c_custkey FROM customer WHERE (c_nationkey = 7 OR c_nationkey = 8) AND c_acctbal > 0 UNION ALL SELECT 'other', c_custkey FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0 UNION ALL SELECT 'owner', c_custkey FROM customer UNION ALL SELECT 'refused', c_custkey FROM customer WHERE NOT (c_nationkey = 7 AND c_acctbal > 0)")
+def row_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    p = Policies("owner").add(Policy("seven", col("c_nationkey") == 7)).add(Policy("eight", col("c_nationkey") == 8, roles=("sales",))).add(Policy("paid", col("c_acctbal") > 0, permissive=False))
+    seen = [p.visible(c, role).select(lit(role).alias("role"), "c_custkey") for role in ("sales", "other", "owner")]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(p.violations(c, "other").select(lit("refused").alias("role"), "c_custkey"))
+
+
+@query("SELECT user_id AS k, value AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 7 <> 0 AND user_id % 2 = 0) e WHERE rn = 1")
+def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes are not published, and only even keys are; a subscriber applies the rest."""
+    op = F.when(col("event_id") % 7 == 0, "delete").otherwise("update")
+    rows = table(spark, sf_dir, "events").select(op.alias("op"), col("event_id").alias("seq"), col("user_id").alias("k"), col("value").alias("v"))
+    sent = published(rows, ("insert", "update"), where=col("k") % 2 == 0)
+    return C.apply_changes(spark.createDataFrame([], "k long, v double"), sent, ["k"])
+
+
+@query("WITH big AS MATERIALIZED (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT a.o_custkey, a.n, b.most FROM big a, (SELECT max(n) AS most FROM big) b WHERE a.n * 2 > b.most")
+def cte_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = R.materialized(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")))
+    return big.crossJoin(F.broadcast(big.agg(F.max("n").alias("most")))).filter("n * 2 > most")  # one row
+
+
+@query("SELECT o_orderkey, count(*) AS n, max(l_quantity) AS most FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def partition_wise_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides lie in buckets of the key: neither the join nor the grouping shuffles."""
+    o = K.bucketed(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 8)
+    line = K.bucketed(table(spark, sf_dir, "lineitem").select(col("l_orderkey").alias("o_orderkey"), "l_quantity"), ["o_orderkey"], 8)
+    return o.join(line.hint("merge"), "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("l_quantity").alias("most"))
+
+
+@query("SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS result FROM lineitem GROUP BY l_returnflag")
+def aggregate_with_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A geometric mean by states of (sum of logarithms, count)."""
+    import numpy as np
+
+    found = U.aggregate(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", (0.0, 0), lambda s, v: (s[0] + float(np.log(v).sum()), s[1] + len(v)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: float(np.exp(s[0] / s[1])) if s[1] else None, "double")
+    return found.select("l_returnflag", F.round("result", 6).alias("result"))

@@ -105,3 +105,11 @@ def copy_binary_from(files: DataFrame, schema: str | T.StructType) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     return files.select(F.col(column).alias("file")).mapInArrow(run, wanted)
+
+
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """df written by buckets of its keys, sorted inside: tables of as many buckets are joined and grouped by these keys without a shuffle."""
+    path = new_path(df.sparkSession, "bucketed")
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -181,3 +181,47 @@ def test_signatures(spark):
     signature = base64.b64encode(pow(int.from_bytes(block, "big"), d, n).to_bytes(128, "big")).decode()
     rows = spark.createDataFrame([(pem, "hello", signature), (pem, "hullo", signature), (pem, "hello", signature[4:]), ("junk", "hello", signature), (None, "a", "b")], "k string, t string, s string")
     assert [r["v"] for r in rows.select(K.verify(F.col("k"), F.col("t"), F.col("s")).alias("v")).collect()] == [True, False, False, False, None]
+
+
+def test_search_vectors_weights_and_queries(spark):
+    row = spark.createDataFrame([("The big cats ate a cat", None)], "t string, n string")
+    v = row.select(T.to_tsvector(F.col("t")).alias("v"), T.to_tsvector(F.col("n")).alias("none"), T.to_tsvector(F.lit(""), "simple").alias("empty"))
+    got = v.select(T.show(F.col("v")), T.show(T.setweight(F.col("v"), "b", ["cat"])), "none", F.size("empty"), T.show(T.strip(F.col("v")))).first()
+    assert tuple(got) == ("'ate':4 'big':2 'cat':3,6", "'ate':4 'big':2 'cat':3B,6B", None, 0, "'ate' 'big' 'cat'")
+    heavy = T.setweight(F.col("v"), "a", ["cat"])
+    assert v.select(T.matches(heavy, T.to_tsquery("cat:a")), T.matches(heavy, T.to_tsquery("ate:a")), T.show(T.ts_filter(heavy, "a"))).first() == (True, False, "'cat':3A,6A")
+    ranks = v.select(T.rank(heavy, T.to_tsquery("cat")).alias("a"), T.rank(F.col("v"), T.to_tsquery("cat")).alias("d"), T.rank(F.col("v"), T.to_tsquery("big & ate")).alias("c")).first()
+    assert ranks["a"] == pytest.approx((1 + 1 / 4) / 1.64493406685) and ranks["d"] == pytest.approx(0.125 / 1.64493406685) and 0 < ranks["c"] < 0.1
+    assert [str(x) for x in (T.ts_rewrite(T.to_tsquery("cat & dog"), T.to_tsquery("dog"), T.to_tsquery("wolf | fox")), T.ts_rewrite(T.to_tsquery("a1 & !b1"), T.to_tsquery("b1"), None))] == ["'cat' & ( 'wolf' | 'fox' )", "'a1'"]
+    assert [T.querytree(T.to_tsquery(q)) for q in ("cat & !dog", "!dog", "cat | !dog")] == ["'cat'", "T", "T"]
+    text = row.select(*(T.matches_text(F.col("t"), T.to_tsquery(q)) for q in ("big <-> cat", "cat <2> ate", "cat:* & !dog"))).first()
+    assert tuple(text) == (True, False, True)
+
+
+def test_sequences(spark):
+    from orrery.functions.system import Sequence
+
+    s = Sequence(most=3, cycle=True)
+    assert [s.nextval() for _ in range(5)] == [1, 2, 3, 1, 2] and s.currval() == 2 and s.setval(3) == 3 and s.nextval() == 1
+    down = Sequence(increment=-2, least=-4)
+    assert [down.nextval(), down.nextval()] == [-1, -3]
+    with pytest.raises(ValueError):
+        down.nextval()
+    with pytest.raises(ValueError):
+        Sequence().currval()
+    t = Sequence()
+    assert sorted(r["n"] for r in t.assign(spark.range(10), "n", ["id"]).collect()) == list(range(1, 11)) and t.nextval() == 11
+
+
+def test_templates(spark):
+    cases = [("05 Dec 2000", "DD Mon YYYY", "2000-12-05 00:00:00"), ("2011-12-18 11:38 PM", "YYYY-MM-DD HH12:MI PM", "2011-12-18 23:38:00"), ("97/2020", "DDD/YYYY", "2020-04-06 00:00:00"), ("none", "YYYY", None)]
+    for text, template, want in cases:
+        assert value(spark, D.from_template(L(text), template).cast("string")) == want
+    for text, template, want in (("12,454.8-", "99G999D9S", "-12454.8"), ("<564646.654>", "999999.999PR", "-564646.654"), ("485", "999", "485")):
+        assert value(spark, D.to_number(L(text), template).cast("string")) == want
+
+
+def test_json_building(spark):
+    assert value(spark, J.insert_path(L('{"a":[0,1,2]}'), ["a", 1], 9)) == '{"a":[0,9,1,2]}'
+    assert value(spark, J.insert_path(L('{"a":[0,1,2]}'), ["a", -1], 9, after=True)) == '{"a":[0,1,2,9]}'
+    assert value(spark, J.pretty(L('{"bb":[1],"a":null}'))) == '{\n    "a": null,\n    "bb": [\n        1\n    ]\n}'
