@@ -15,7 +15,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from orrery.llm.licence_texts import OTHERS, TEMPLATES
 from orrery.llm.store import bernoulli, keyed, settled
@@ -23,14 +23,16 @@ from orrery.llm.store import bernoulli, keyed, settled
 WORD = r"[A-Za-z0-9]+(?:[.-][0-9A-Za-z]+)*"
 UNKNOWN = "unknown"
 #: Documents whose lines stand for `unknown` (about), lines taken of them at most, and characters of a line.
-SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 400, 1500, 2000
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 400, 1000, 2000
 #: Parts that the templates of each family are dealt into for calibration.
-FOLDS = 3
+FOLDS = 2
 #: Least calibrated probability of a licence (of any family), and least share of n-grams in common with a template of the likeliest.
 PROBABILITY, RESEMBLANCE = 0.5, 0.6
 #: Of a paragraph with fewer n-grams, the share is of so many (or of the template's, if these are fewer): five words.
 LEAST_GRAMS = 9
-PENALTY, STEPS = 1e-3, 200
+#: Least gain of a line's n-grams, for some family over unknown, with which it may be a part of a wrapped notice.
+EVIDENCE = 1.0
+PENALTY, STEPS = 1e-3, 150
 
 
 def _grams(text: str) -> list[str]:
@@ -70,9 +72,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _alike(y: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Weights of rows: classes weigh alike, and inside a class the texts that its rows come from."""
+    """Weights of rows: unknown weighs as much as all families together, these alike, and inside a class the texts that its rows come from."""
     weight = 1.0 / np.bincount(source)[source]
-    return (weight / np.bincount(y, weight)[y]).astype(np.float32)
+    total = np.bincount(y, weight)
+    return (np.where(y == 0, (total > 0).sum() - 1, 1) * weight / total[y]).astype(np.float32)
 
 
 def _descend(x: np.ndarray, y: np.ndarray, source: np.ndarray, classes: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +148,58 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_do
     return fit([x["line"] for x in lines.orderBy(F.xxhash64("line"), "line").limit(sample_lines).collect()])
 
 
-def _judged(summed: DataFrame, model: Model, *keys: str) -> DataFrame:
+def hashes(line: Column) -> Column:
+    """Distinct hashes of a line's words and word pairs."""
+    words = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+
+    def both(w: Column) -> Column:
+        less = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.concat(F.transform(w, lambda x: F.xxhash64(x)), F.zip_with(F.slice(w, 1, less), F.slice(w, 2, less), lambda x, y: F.xxhash64(x, y))))
+
+    return F.transform(F.array(words), both)[0]
+
+
+def _constant(values: list, kind: str) -> Column:
+    """An array literal: folded once, when the query is planned."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+class Lookup:
+    """The model's n-grams by place in a small table of slots, as array literals: no join, so a line's sums stay in its row.
+
+    place: of a slot's n-gram, 0 for none; known: the hash that stands at a place, so that other n-grams of a slot are told apart.
+    """
+
+    def __init__(self, spark: SparkSession, model: Model) -> None:
+        grams_ = sorted(model.weights)
+        rows = [(i, *(g.split(" ") + [None])[:2]) for i, g in enumerate(grams_)]
+        own = spark.createDataFrame(rows, "i int, a string, b string").select("i", F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b")).alias("h"))
+        found = [r["h"] for r in own.orderBy("i").collect()]  # of the model's n-grams
+        at = np.array(found, np.int64)
+        slots = next(n for n in range(64 * len(found) + 1, 1 << 30, 2) if len(np.unique(at % n)) == len(at))
+        place = np.zeros(slots, np.int64)
+        place[at % slots] = np.arange(1, len(at) + 1)
+        weights = np.array([model.weights[g] for g in grams_]).reshape(len(grams_), len(model.families))
+        self.slots, self.place, self.known = slots, _constant(place.tolist(), "int"), _constant([0, *found], "bigint")
+        self.weights = [_constant([0.0, *weights[:, k].tolist()], "double") for k in range(len(model.families))]
+        gain = np.maximum((weights[:, 1:] - weights[:, :1]).max(axis=1, initial=0), 0)
+        self.gain = _constant([0.0, *gain.tolist()], "double")
+        #: Of a line's gains, the least sum with which it can be as likely a licence as none.
+        self.least = float(min(model.bias[0] - b for b in model.bias[1:]) - model.heat * np.log(len(model.bias) - 1))
+
+    def places(self, hashed: Column) -> Column:
+        def one(h: Column) -> Column:
+            i = F.get(self.place, F.pmod(h, F.lit(self.slots)).cast("int"))
+            return F.when(F.get(self.known, i) == h, i)
+
+        return F.filter(F.transform(hashed, one), lambda i: i.isNotNull())
+
+    @staticmethod
+    def total(places: Column, of: Column) -> Column:
+        return F.aggregate(places, F.lit(0.0), lambda total, i: total + F.get(of, i))
+
+
+def _judged(summed: DataFrame, model: Model) -> DataFrame:
     """With family (the likeliest that is not unknown) and probability (that it is not unknown), from sums of weights (w0, w1, ...)."""
     logits = [(F.col(f"w{i}") + F.lit(b)) / F.lit(model.heat) for i, b in enumerate(model.bias)]
     best = F.greatest(*(F.struct(x.alias("logit"), F.lit(f).alias("family")) for x, f in zip(logits[1:], model.families[1:], strict=True)))
@@ -154,57 +208,57 @@ def _judged(summed: DataFrame, model: Model, *keys: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """Lines with a weighted n-gram, and each document's first: doc_id, row, line, paragraph, w0, w1, ... (sums of weights), family, probability.
+    """Lines that may be a licence's or a part of one, and each document's first: doc_id, row, line, paragraph, w0, w1, ... (sums of weights), family, probability.
 
-    row tells apart rows of one id; line counts from 0.
+    row tells apart rows of one id; line counts from 0. Other lines' n-grams gain too little for any family, as
+    a bound tells that takes each n-gram's largest gain; EVIDENCE is the least for a part.
     """
-    spark, names = docs.sparkSession, [f"w{i}" for i in range(len(model.families))]
-    table = spark.createDataFrame([(g, *w) for g, w in model.weights.items()] or [("", *[0.0] * len(names))], f"gram string, {', '.join(f'{n} double' for n in names)}")
+    look = Lookup(docs.sparkSession, model)
     own = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
     rows = docs.select(*own, F.col(row).alias("row")) if row else keyed(docs, *own, name="row")
     lines = rows.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line", "paragraph"))
-    spread = lines.select("*", F.posexplode_outer(grams(F.col("paragraph"))).alias("at", "gram"))
-    met = spread.join(F.broadcast(table), "gram", "left")  # of the model's n-grams at most
-    base = (F.col("line") == 0) & (F.coalesce(F.col("at"), F.lit(0)) == 0)
-    kept = met.filter(F.col("w0").isNotNull() | base)
-    summed = kept.groupBy("doc_id", "row", "line").agg(F.max("paragraph").alias("paragraph"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
-    return _judged(summed, model)
-
-
-def _confirmed(found: DataFrame, keys: list[str], probability: float, resemblance: float) -> DataFrame:
-    """found with family, probability and resemblance, null where the paragraph resembles no template of a likely family."""
-    spark = found.sparkSession
-    templates = spark.createDataFrame([(f, _grams(t)) for f, t in TEMPLATES], "family string, template array<string>")
-    likely = F.col("probability") >= probability
-    rest = [c for c in found.columns if c not in {*keys, "family", "probability", "paragraph"}]
-    named = found.select(*keys, "paragraph", "probability", *rest, F.when(likely, F.col("family")).alias("family"), F.when(likely, grams(F.col("paragraph"))).alias("own"))
-    met = named.join(F.broadcast(templates), "family", "left")  # the fixed templates
+    met = lines.withColumn("_at", look.places(hashes(F.col("paragraph"))))
+    gained = met.withColumn("_gain", look.total(F.col("_at"), look.gain))
+    kept = gained.filter((F.col("line") == 0) | (F.col("_gain") >= min(look.least, EVIDENCE)))
+    return _judged(kept.select("doc_id", "row", "line", "paragraph", *(look.total(F.col("_at"), w).alias(f"w{k}") for k, w in enumerate(look.weights))), model)
+
+
+def _confirmed(found: DataFrame, resemblance: float) -> DataFrame:
+    """doc_id, row, line, family, probability and resemblance of those paragraphs that resemble a template of their family."""
+    templates = found.sparkSession.createDataFrame([(f, _grams(t)) for f, t in TEMPLATES], "family string, template array<string>")
+    named = found.select("doc_id", "row", "line", "family", "probability", grams(F.col("paragraph")).alias("own"))
+    met = named.join(F.broadcast(templates), "family")  # the fixed templates
     most = F.greatest(F.least(F.size("own"), F.size("template")), F.least(F.size("template"), F.lit(LEAST_GRAMS)))
     share = F.size(F.array_intersect("own", "template")) / F.greatest(most, F.lit(1))
-    judged = met.groupBy(*keys).agg(F.max(share).alias("resemblance"), *(F.first(c).alias(c) for c in ("family", "probability", "paragraph", *rest)))
-    sure = F.coalesce(F.col("resemblance") >= resemblance, F.lit(False))
-    return judged.select(*keys, "paragraph", *rest, *(F.when(sure, F.col(c)).alias(c) for c in ("family", "probability", "resemblance")))
+    return met.groupBy("doc_id", "row", "line", "family", "probability").agg(F.max(share).alias("resemblance")).filter(F.col("resemblance") >= resemblance)
 
 
 def scan(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text", probability: float = PROBABILITY, resemblance: float = RESEMBLANCE, row: str | None = None) -> DataFrame:
-    """Confirmed licence paragraphs, and the first line of each row of docs: doc_id, row, line, family, probability, resemblance.
+    """Confirmed licence paragraphs, and a bare first line of each row of docs: doc_id, row, line, family, probability, resemblance.
 
-    line: the first of the paragraph's. Family and figures are null where nothing is confirmed.
-    Lines that are not confirmed by themselves but have weighted n-grams are judged in runs of adjacent ones.
+    line: the first of the paragraph's; family and figures are null in the bare ones.
+    Lines that are not confirmed by themselves but may be a part of a notice are judged in runs of adjacent ones.
     probability: that the paragraph is a licence's; family: the likeliest. resemblance: of the n-grams of the paragraph or of a template of its family,
     whichever has fewer, the share that the other has too; the largest over the templates.
     """
     model = model or train(docs, text, doc_id)
     sums, keys = [f"w{i}" for i in range(len(model.families))], ["doc_id", "row", "line"]
-    lines = settled(_confirmed(paragraphs(docs, model, doc_id, text, row), keys, probability, resemblance), "licence-lines")
-    open_ = lines.filter(F.col("family").isNull() & (F.greatest(*(F.abs(F.col(n)) for n in sums)) > 0))
+    found = paragraphs(docs, model, doc_id, text, row)
+    part = F.greatest(*(F.col(n) for n in sums[1:])) - F.col("w0") >= EVIDENCE
+    # lines that are neither likely nor a possible part go on bare
+    some = F.when(part | (F.col("probability") >= probability), F.struct("paragraph", "family", "probability", part.alias("part"), *sums))
+    lines = settled(found.select(*keys, some.alias("own")), "licence-lines")
+    known = lines.filter(F.col("own").isNotNull()).select(*keys, "own.*")
+    sure = settled(_confirmed(known.filter(F.col("probability") >= probability), resemblance), "licences-of-lines")
+    left = known.filter("part").join(sure.select(*keys), keys, "left_anti")
     run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("line"))
-    runs = open_.withColumn("_run", run).groupBy("doc_id", "row", "_run").agg(
+    runs = left.withColumn("_run", run).groupBy("doc_id", "row", "_run").agg(
         F.min("line").alias("line"), F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "paragraph"))), lambda x: x["paragraph"]), " ").alias("paragraph"), *(F.sum(n).alias(n) for n in sums)
     )
-    joined = _confirmed(_judged(runs.filter("_n > 1").select(*keys, "paragraph", *sums), model), keys, probability, resemblance).filter(F.col("family").isNotNull())
-    shown = [*keys, "family", "probability", "resemblance"]
-    return lines.filter(F.col("family").isNotNull() | (F.col("line") == 0)).select(*shown).unionByName(joined.select(*shown))
+    judged = settled(_judged(runs.filter("_n > 1").select(*keys, "paragraph", *sums), model), "licence-runs")
+    wrapped = _confirmed(judged.filter(F.col("probability") >= probability), resemblance)
+    bare = lines.filter("line = 0").select(*keys, F.lit(None).cast("string").alias("family"), *(F.lit(None).cast("double").alias(c) for c in ("probability", "resemblance")))
+    return bare.unionByName(sure).unionByName(wrapped)
 
 
 def licences(docs: DataFrame, **options: object) -> DataFrame:

@@ -257,7 +257,13 @@ def test_licence_scores_are_sums_of_weights(spark):
     model = licences.fit([t for _, t in texts() if t])
     rows = [(i, f"{t}\nand more") for i, (_, t) in enumerate(TEMPLATES)] + [(500 + i, t) for i, t in enumerate(OTHERS)]
     got = licences.paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
-    assert len(got) >= len(rows)
+    shown = {(r["doc_id"], r["line"]) for r in got}
+    assert {(i, 0) for i, _ in rows} <= shown
+    for i, t in rows:  # a line that is left out can't be a licence's
+        for k, line in enumerate(t.split("\n")):
+            totals = np.array(model.bias) + sum((np.array(model.weights[g]) for g in licences._grams(line) if g in model.weights), np.zeros(len(model.bias)))
+            p = np.exp((totals - totals.max()) / model.heat)
+            assert (i, k) in shown or p[0] > 0.5 * p.sum()
     for r in got:
         logits = [b / model.heat for b in model.bias]
         for g in licences._grams(r["paragraph"]):
