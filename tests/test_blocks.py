@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.plans import blocks as B
@@ -81,3 +82,28 @@ def test_empty_sets(spark):
     none = spark.createDataFrame([], SETS)
     assert B.conflicts(none).count() == 0
     assert B.last_committed(B.conflicts(none)).first()[0] == -1
+
+
+def test_block_store(spark):
+    from orrery.plans.service import BlockStore
+
+    store = BlockStore(spark, first=1, size=2)
+    raw = spark.createDataFrame([('{"bid":1,"txs":[{"hash":"a","sql":"w x"},{"hash":"b","sql":"w x"}]}',), ('{"bid":3,"txs":[{"hash":"d","sql":"r x"}]}',), ('{"bid":9,"txs":[{"hash":"z"}]}',)], "block string")
+    assert [r["bid"] for r in store.submit_blocks(raw).collect()] == [9]
+    key = F.split("sql", " ")
+
+    def sets(txs):
+        return txs.select("bid", "tx_id", F.lit("t").alias("rel"), key[1].alias("key"), F.upper(key[0]).alias("mode"))
+
+    assert store.decide(sets) == 1 and [store.block_status(i) for i in (1, 2, 3)] == ["DECIDED", "UNKNOWN", "PENDING"]
+    assert not store.wait(3, 0.1) and store.committed() == 1 and store.last_committed() == 0
+    store.add(2, spark.createDataFrame([("c", "w y")], "hash string, sql string"))
+    assert store.decide(sets) == 3 and store.wait(3, 5)
+    with pytest.raises(ValueError):
+        store.add(1, raw.select(F.lit("q").alias("hash"), F.lit("w x").alias("sql")))
+    store.submit(spark.createDataFrame([(0, "e", "w x"), (1, "f", "w x"), (2, "g", "w x")], "seq long, hash string, sql string"))
+    asked = spark.createDataFrame([(x,) for x in "abcdegz"], "hash string")
+    assert {r["hash"]: r["status"] for r in store.results(asked).collect()} == {"a": "COMMITTED", "b": "ABORTED", "c": "COMMITTED", "d": "COMMITTED", "e": "PENDING", "g": "PENDING", "z": "UNKNOWN"}
+    assert {r["hash"]: r["bid"] for r in store.transactions().collect() if r["bid"] > 3} == {"e": 4, "f": 4, "g": 5}
+    store.reset()
+    assert store.block_status(1) == "UNKNOWN" and store.committed() == 0
