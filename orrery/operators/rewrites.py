@@ -210,7 +210,7 @@ def overlap_join(left: DataFrame, right: DataFrame, width: float, l_low: str, l_
         return df.filter(F.col(low) < F.col(high)).withColumn("_own", F.ceil(F.log2(wide)).cast("int"))
 
     a, b = leveled(left, l_low, l_high), leveled(right, r_low, r_high)
-    found = a.select("_own").distinct().union(b.select("_own").distinct()).distinct().collect()  # a row per level: a few dozen
+    found = a.select("_own").union(b.select("_own")).distinct().collect()  # a row per level: a few dozen
     levels = F.array(*(F.lit(x) for x in sorted(r["_own"] for r in found))) if found else F.array().cast("array<int>")
 
     def bins(edge: Column) -> Column:
