@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, functions as F
 
@@ -210,6 +213,27 @@ def unaccent(s: Column) -> Column:
     return F.replace(F.replace(F.replace(F.translate(s, MARKED, PLAIN), F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
 
 
+@cache
+def _marks() -> tuple[str, str]:
+    """Characters that hold marks and what is left of them, then the marks themselves, which go."""
+    held, left, marks = [], [], []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(c) in ("Mn", "Mc", "Me"):
+            marks.append(c)
+            continue
+        parts = unicodedata.normalize("NFD", c)
+        bare = unicodedata.normalize("NFC", "".join(x for x in parts if unicodedata.category(x) not in ("Mn", "Mc", "Me")))
+        if bare != c and len(bare) == 1:
+            held.append(c)
+            left.append(bare)
+    return "".join(held + marks), "".join(left)
+
+
+def strip_accents(s: Column) -> Column:
+    """Without the marks on letters; letters of their own (ß, æ, ø) stay, unlike in unaccent()."""
+    return F.translate(s, *_marks())
+
+
 def to_ascii(s: Column) -> Column:
     return F.regexp_replace(F.translate(s, MARKED, PLAIN), r"[^\x00-\x7F]", " ")
 

@@ -68,7 +68,7 @@ def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, strip_accents(text) = text AS plain FROM documents")
 def unaccented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (S.unaccent(col("text")) == col("text")).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", (S.strip_accents(col("text")) == col("text")).alias("plain"))
 
 
 @query("SELECT k, m FROM (VALUES ('phone', 'FN'), ('wrap', 'RP')) AS v(k, m)")
