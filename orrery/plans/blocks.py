@@ -1,6 +1,7 @@
 """Ordered blocks of transactions: parsing, deterministic ids, conflicts and commit sets.
 
-A block is a JSON document {bid, txs: [{hash, sql, create_ts}]}. Read and write sets are
+A block is a JSON document {bid, txs: [{hash, sql, create_ts}]}, or several of at most MAX_TXS
+transactions each, whose `first` is the position in the block of their first one. Read and write sets are
 rows (bid, tx_id, rel, key, mode). Within a block every transaction reads the same
 snapshot; each key is reserved for its smallest reader and its smallest writer. A
 transaction aborts if a smaller one writes a key that it writes (WAW), or if it both
@@ -13,15 +14,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK_SCHEMA = "bid INT, txs ARRAY<STRUCT<hash: STRING, sql: STRING, create_ts: STRING>>"
-#: Limits of a block and of a transaction.
+BLOCK_SCHEMA = "bid INT, first INT, txs ARRAY<STRUCT<hash: STRING, sql: STRING, create_ts: STRING>>"
+#: Limits of a block's document and of a transaction.
 MAX_TXS, MAX_HASH, MAX_SQL = 5500, 32, 1024
 
 
 def parse_blocks(raw: DataFrame, column: str = "block") -> DataFrame:
     """bid, position, hash, sql, create_ts of each transaction; malformed blocks give a row with an error."""
     parsed = raw.select(F.from_json(column, BLOCK_SCHEMA).alias("b"), F.col(column).alias("raw"))
-    rows = parsed.select(F.col("b.bid").alias("bid"), F.posexplode_outer("b.txs").alias("position", "tx"), "raw")
+    rows = parsed.select(F.col("b.bid").alias("bid"), F.coalesce("b.first", F.lit(0)).alias("first"), F.posexplode_outer("b.txs").alias("position", "tx"), "raw")
     error = (
         F.when(F.col("bid").isNull(), F.lit("no bid"))
         .when(F.col("tx").isNull() | F.col("tx.sql").isNull(), F.lit("no sql"))
@@ -29,7 +30,7 @@ def parse_blocks(raw: DataFrame, column: str = "block") -> DataFrame:
         .when(F.length("tx.sql") > MAX_SQL, F.lit("sql too long"))
         .when(F.col("position") >= MAX_TXS, F.lit("too many transactions"))
     )
-    return rows.select("bid", "position", F.col("tx.hash").alias("hash"), F.col("tx.sql").alias("sql"), F.col("tx.create_ts").alias("create_ts"), error.alias("error"))
+    return rows.select("bid", (F.col("first") + F.col("position")).alias("position"), F.col("tx.hash").alias("hash"), F.col("tx.sql").alias("sql"), F.col("tx.create_ts").alias("create_ts"), error.alias("error"))
 
 
 def assign_ids(txs: DataFrame) -> DataFrame:

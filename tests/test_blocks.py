@@ -107,3 +107,15 @@ def test_block_store(spark):
     assert {r["hash"]: r["bid"] for r in store.transactions().collect() if r["bid"] > 3} == {"e": 4, "f": 4, "g": 5}
     store.reset()
     assert store.block_status(1) == "UNKNOWN" and store.committed() == 0
+
+
+def test_a_block_of_more_than_a_document_holds_is_parsed_whole(spark):
+    """Blocks of 5,501 and 2 transactions: none is lost, and places and ids go on over documents."""
+    from orrery.queries import load
+    from orrery.sources.storage import new_path
+
+    path, n = new_path(spark, "many"), B.MAX_TXS + 3
+    nation = F.when(F.col("id") < B.MAX_TXS + 1, 0).otherwise(1).cast("int").alias("c_nationkey")
+    spark.range(n).select(F.col("id").alias("c_custkey"), nation).write.parquet(f"{path}/customer.parquet")
+    rows = load()[0]["block_parse"](spark, path).collect()
+    assert sorted((r.bid, r.position, r["hash"], r.tx_id) for r in rows) == [(int(i > B.MAX_TXS), i if i <= B.MAX_TXS else i - B.MAX_TXS - 1, f"h{i}", i) for i in range(n)]
