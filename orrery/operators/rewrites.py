@@ -53,18 +53,38 @@ def _together(kind: str, parts: Sequence[Column]) -> Column:
     return F.greatest(*parts) if kind == "max" else F.least(*parts)
 
 
+#: Bytes of a table, as its files hold it, that a task sorts; and the most tasks that an estimate may ask for.
+TASK_BYTES, MOST_TASKS = 4 << 20, 20_000
+
+
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df by its keys over more tasks the larger it is, so that what one task sorts does not grow with it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(-(-size // TASK_BYTES), MOST_TASKS)
+    return df.repartition(n, *keys) if keys and n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def excluded(df: DataFrame, kind: str, value: str, partition: Sequence[str], order: Sequence[str | Column], start: int, end: int, exclude: str, name: str) -> DataFrame:
-    """df with an aggregate (sum, count, min, max, avg) over a ROWS frame without the current row, its peer group, or its ties.
+    """excluded_all() of one aggregate."""
+    return excluded_all(df, {name: kind}, value, partition, order, start, end, exclude)
+
+
+def excluded_all(df: DataFrame, named: dict[str, str], value: str, partition: Sequence[str], order: Sequence[str | Column], start: int, end: int, exclude: str) -> DataFrame:
+    """df with aggregates (sum, count, min, max, avg, by their new names) over a ROWS frame without the current row, its peer group, or its ties.
 
     The frame must hold the current row. What is left of it stands before and after what
     is left out, so each side is a frame of its own: nothing is subtracted, and a side that runs to the
-    partition's end costs one pass. A bounded side is a list no longer than the frame says.
+    partition's end costs one pass. A bounded side is a list no longer than the frame says. All aggregates share the passes.
     """
     if not start <= 0 <= end:
         raise ValueError("the frame must hold the current row")
     part = Window.partitionBy(*partition)
-    rows = df.withColumn("_peer", F.dense_rank().over(part.orderBy(*ordered(*order)))).withColumn("_at", F.row_number().over(part.orderBy("_peer")))
-    kinds = ["sum", "count"] if kind == "avg" else [kind]
+    rows = dealt(df, partition)
+    if exclude == "current row":
+        rows = rows.withColumn("_at", F.row_number().over(part.orderBy(*ordered(*order))))
+    else:
+        rows = rows.withColumn("_peer", F.dense_rank().over(part.orderBy(*ordered(*order)))).withColumn("_at", F.row_number().over(part.orderBy("_peer")))
+    kinds = sorted({k for kind in named.values() for k in (("sum", "count") if kind == "avg" else (kind,))})
     sides: dict[str, list[Column]] = {k: [] for k in kinds}
     for reach, least, ahead in ((start, start <= Window.unboundedPreceding, False), (end, end >= Window.unboundedFollowing, True)):
         along = "_at" if exclude == "current row" else "_peer"
@@ -86,10 +106,9 @@ def excluded(df: DataFrame, kind: str, value: str, partition: Sequence[str], ord
     if exclude == "ties":
         for k in kinds:
             sides[k].append(F.col(value).isNotNull().cast("int") if k == "count" else F.col(value))
-    none = F.lit(0) if kind == "count" else F.lit(None)
-    found = {k: _together(k, own) if len(own) > 1 else own[0] if own else none for k, own in sides.items()}
-    out = F.when(found["count"] > 0, found["sum"] / found["count"]) if kind == "avg" else found[kind]
-    return rows.withColumn(name, out).drop("_peer", "_at")
+    found = {k: _together(k, own) if len(own) > 1 else own[0] if own else F.lit(0 if k == "count" else None) for k, own in sides.items()}
+    made = {name: F.when(found["count"] > 0, found["sum"] / found["count"]) if kind == "avg" else found[kind] for name, kind in named.items()}
+    return rows.withColumns(made).drop("_peer", "_at")
 
 
 def hypothetical_rank(value: Column, at: Column) -> Column:

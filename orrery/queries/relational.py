@@ -189,9 +189,8 @@ def _excluded(kind: str) -> None:
 
     @query(f"SELECT l_orderkey, l_linenumber, {columns}, round(avg(l_quantity) OVER ({part} EXCLUDE {frame}), 6) AS mean FROM lineitem", f"window_exclude_{kind.replace(' ', '_')}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "lineitem")
-        for f, name in (("sum", "s"), ("count", "n"), ("min", "least"), ("max", "most"), ("avg", "mean")):
-            rows = R.excluded(rows, f, "l_quantity", ["l_orderkey"], ["l_returnflag"], Window.unboundedPreceding, Window.unboundedFollowing, kind, name)
+        named = {"s": "sum", "n": "count", "least": "min", "most": "max", "mean": "avg"}
+        rows = R.excluded_all(table(spark, sf_dir, "lineitem"), named, "l_quantity", ["l_orderkey"], ["l_returnflag"], Window.unboundedPreceding, Window.unboundedFollowing, kind)
         return rows.select("l_orderkey", "l_linenumber", "s", "n", "least", "most", F.round("mean", 6).alias("mean"))
 
 

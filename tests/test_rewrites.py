@@ -189,3 +189,17 @@ def test_replica_over_batches(spark):
         for op, _, k, v in log[: i + 2]:
             want = {} if op == "truncate" else {**{x: y for x, y in want.items() if x != k}, **({} if op == "delete" else {k: v})}
         assert dict(map(tuple, state.read().collect())) == want
+
+
+def test_aggregates_without_peers_share_their_passes(spark, sf_dir, monkeypatch):
+    """A few passes for all aggregates of a frame, and as many tasks as the table's size asks for."""
+    from orrery.operators import rewrites as R
+    from orrery.queries import load
+
+    for kind in ("current_row", "group", "ties"):
+        plan = load()[0][f"window_exclude_{kind}"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Window [") <= 5
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert R.dealt(rows, ["l_orderkey"]).rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(R, "TASK_BYTES", 8192)
+    assert R.dealt(rows, ["l_orderkey"]).rdd.getNumPartitions() > 10
