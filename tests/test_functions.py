@@ -239,3 +239,22 @@ def test_accents_go_and_letters_stay(spark):
     assert got[-4:] == ["Straße", "Hotel", "cestina", "Hotel"]
     unknown = [(t, g, w) for t, g, w in zip(texts, got, want) if g != w]
     assert not unknown
+
+
+def test_divisors_take_no_steps_in_expressions(spark):
+    rows = spark.createDataFrame([(12, 18, 6, 36), (-12, 18, 6, 36), (0, 0, 0, 0), (0, 5, 5, 0), (None, 5, None, None), (5, None, None, None), (2**62, 2**61, 2**61, 2**62)], "a long, b long, g long, l long")
+    found = rows.select(M.gcd(F.col("a"), F.col("b")).alias("x"), M.lcm(F.col("a"), F.col("b")).alias("y"), "g", "l")
+    assert [(r.x, r.y) for r in found.collect()] == [(r.g, r.l) for r in found.collect()]
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_sketch_for_each_distinct_value(spark, sf_dir):
+    from orrery.queries import load
+
+    plan = load()[0]["approximate_distinct_error"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "keys=[l_partkey" in x and "approx_count_distinct" in x]
+
+
+def test_an_address_is_parsed_once(spark):
+    N._at.cache_clear()
+    assert N._at("10.0.0.1/8") is N._at("10.0.0.1/8")
