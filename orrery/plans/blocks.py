@@ -6,8 +6,9 @@ rows (bid, tx_id, rel, key, mode). Within a block every transaction reads the sa
 snapshot; each key is reserved for its smallest reader and its smallest writer. A
 transaction aborts if a smaller one writes a key that it writes (WAW), or if it both
 reads what a smaller one writes (RAW) and writes what a smaller one reads (WAR), in
-which case no reordering would help. All is set-at-a-time: two aggregates per block
-and key, whose partial sums keep hot keys small, and one pass back to transactions.
+which case no reordering would help. All is set-at-a-time: reservations are seen beside
+the sets (a block and key has as many rows as the block has transactions, at most two
+each), so the sets are worked out and shuffled once, and one pass goes back to transactions.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ def reservations(sets: DataFrame) -> DataFrame:
 
 def conflicts(sets: DataFrame) -> DataFrame:
     """bid, tx_id, waw, raw, war, committed of each transaction in the sets."""
-    held = sets.join(reservations(sets), ["bid", "rel", "key"])
+    own, tx = Window.partitionBy("bid", "rel", "key"), F.col("tx_id")
+    held = sets.withColumns({name: F.min(F.when(F.col("mode") == m, tx)).over(own) for name, m in (("first_write", "W"), ("first_read", "R"))})
     writes, reads = F.col("mode") == "W", F.col("mode") == "R"
     earlier_write, earlier_read = F.coalesce(F.col("first_write") < F.col("tx_id"), F.lit(False)), F.coalesce(F.col("first_read") < F.col("tx_id"), F.lit(False))
     flags = held.groupBy("bid", "tx_id").agg(F.max(writes & earlier_write).alias("waw"), F.max(reads & earlier_write).alias("raw"), F.max(writes & earlier_read).alias("war"))
