@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -21,7 +22,9 @@ def _each(kind: str, f: Callable[..., Any]) -> Callable[..., Column]:
     return call
 
 
+@lru_cache(1 << 15)
 def _at(x: str) -> Any:
+    """Parsed once for all functions of a batch."""
     return ipaddress.ip_interface(x)
 
 

@@ -57,10 +57,20 @@ def _together(kind: str, parts: Sequence[Column]) -> Column:
 TASK_BYTES, MOST_TASKS = 4 << 20, 20_000
 
 
+def tasks(df: DataFrame) -> int:
+    """How many tasks its size asks for."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(-(-size // TASK_BYTES), MOST_TASKS)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, for costly work on rows: a file of one row group is read by one task, however large it is."""
+    return df.repartition(max(tasks(df), 2 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df by its keys over more tasks the larger it is, so that what one task sorts does not grow with it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = min(-(-size // TASK_BYTES), MOST_TASKS)
+    n = tasks(df)
     return df.repartition(n, *keys) if keys and n > df.sparkSession.sparkContext.defaultParallelism else df
 
 
