@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from orrery.functions import routines as U
+from orrery.operators.rewrites import tasks
 from orrery.queries import distinguishing as Q
 from orrery.queries.registry import query, table
 from orrery.sources import copying as C
@@ -104,10 +105,11 @@ def stream_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT bid, tx_id, waw, raw, war, committed FROM {Q._FLAGS} t")
 def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "sets")
-    Q._sets(spark, sf_dir).repartitionByRange(3, "bid").sortWithinPartitions("bid").write.parquet(path)
+    n = max(3, tasks(table(spark, sf_dir, "lineitem")))
+    Q._sets(spark, sf_dir).repartitionByRange(n, "bid").sortWithinPartitions("bid").write.parquet(path)
     schema = spark.read.parquet(path).schema
     state = S.flag_state(spark)
-    S.commit_blocks(S.files(spark, path, "*.parquet", schema), state, new_path(spark, "offsets"))
+    S.commit_blocks(S.files(spark, path, "*.parquet", schema, min(16, -(-n // 3))), state, new_path(spark, "offsets"))
     return state.read()
 
 

@@ -119,3 +119,15 @@ def test_a_block_of_more_than_a_document_holds_is_parsed_whole(spark):
     spark.range(n).select(F.col("id").alias("c_custkey"), nation).write.parquet(f"{path}/customer.parquet")
     rows = load()[0]["block_parse"](spark, path).collect()
     assert sorted((r.bid, r.position, r["hash"], r.tx_id) for r in rows) == [(int(i > B.MAX_TXS), i if i <= B.MAX_TXS else i - B.MAX_TXS - 1, f"h{i}", i) for i in range(n)]
+
+
+def test_stream_of_blocks_is_cut_by_the_size_of_its_table(spark, sf_dir, monkeypatch):
+    from orrery.operators import rewrites as R
+    from orrery.queries import systems as Q
+    from orrery.streaming import feeds as S
+
+    seen, files = [], S.files
+    monkeypatch.setattr(R, "TASK_BYTES", 16384)
+    monkeypatch.setattr(S, "files", lambda spark, folder, name, schema, per_batch=1: seen.append((len(spark.read.parquet(folder).inputFiles()), per_batch)) or files(spark, folder, name, schema, per_batch))
+    Q.stream_blocks(spark, sf_dir)
+    assert seen[0][0] > 3 and 1 < seen[0][1] < seen[0][0]
