@@ -258,3 +258,18 @@ def test_no_sketch_for_each_distinct_value(spark, sf_dir):
 def test_an_address_is_parsed_once(spark):
     N._at.cache_clear()
     assert N._at("10.0.0.1/8") is N._at("10.0.0.1/8")
+
+
+def test_cube_distances_in_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(X, "BLOCKS", (2, 3))
+    nan, rows = float("nan"), [(i, i % 2, [float(i * k % 7) for k in range(5)]) for i in range(20)]
+    rows += [(20, 0, None), (21, 0, [1.0, None, 2.0, 3.0, 4.0]), (22, 0, [1.0, 2.0]), (23, 0, [4.0, 6.0]), (24, 0, []), (25, 0, [nan, 1.0]), (26, None, [1.0]), (27, 5, [1.0])]
+    e = spark.createDataFrame(rows, "i int, label int, p array<float>")
+    a, b = e.filter("i % 3 > 0").toDF("a", "label", "x"), e.toDF("b", "label", "y")
+    plain = a.join(b, "label").select("a", "b", X.cube_distance(F.col("x").cast("array<double>"), F.col("y").cast("array<double>")).alias("d"))
+    got, want = (sorted((r["a"], r["b"], str(r["d"])) for r in df.collect()) for df in (X.cube_distances(a, b), plain))
+    assert got == want and (22, 23, "5.0") in got and (20, 0, "None") in got
+    assert not X.cube_distances(a.limit(0), b).collect()
+    from orrery.queries import load
+
+    assert "zip_with" not in load()[0]["cube_distances"](spark, sf_dir)._jdf.queryExecution().toString()
