@@ -1,8 +1,8 @@
 """Full-text search: a tsvector is array<struct(lexeme, positions)>, sorted by lexeme.
 
 A position is struct(at, weight), with weights A to D. The parser takes words of letters and digits; the `simple`
-configuration lowers them, `english` also drops stop words and takes off common endings. All is
-column expressions, in time linear in the text but for the sort of its words.
+configuration lowers them, `english` also drops stop words and takes off common endings. Vectors are
+put together by batches of rows, all else is column expressions, in time linear in the text but for the sort of its words.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[\p{L}\p{N}]+"
@@ -80,10 +83,34 @@ def _gathered(places: Column) -> Column:
     return _bound(F.sort_array(places), runs)
 
 
+def _vectors(words: pa.Array) -> pa.Array:
+    """A vector for each row's lexemes, of which empty ones go, as _gathered() does it: their ranks sorted, then cut where the lexeme changes."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    flat = words.flatten()
+    row = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(1, len(flat) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    coded = flat.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    kept = np.flatnonzero(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))
+    key = (row * len(rank) + rank[coded.indices.to_numpy()])[kept]
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    order = kept[order]
+    places = pa.StructArray.from_arrays([pa.array(at[order].astype(np.int32)), pa.repeat("D", len(order))], ["at", "weight"])
+    where = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), places)
+    lexeme = coded.dictionary.take(coded.indices.take(pa.array(order[starts])))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[order[starts]], minlength=len(words))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([lexeme, where], ["lexeme", "positions"]), mask=words.is_null())
+
+
 def to_tsvector(text: Column, config: str = "english") -> Column:
-    """Lexemes and their positions; null for a null text."""
-    places = F.transform(parse(text), lambda w, i: F.struct(lexeme(w, config).alias("lexeme"), (i + 1).alias("at"), F.lit("D").alias("weight")))
-    return F.when(text.isNotNull(), _gathered(F.filter(places, lambda x: x["lexeme"] != "")))
+    """Lexemes and their positions; null for a null text.
+
+    Batches of rows are worked out in Python, so it can't stand in a lambda. It is not taken for deterministic, so that
+    what asks for a vector, or filters by it, does not have it worked out again.
+    """
+    return F.arrow_udf(_vectors, VECTOR).asNondeterministic()(F.transform(parse(text), lambda w: lexeme(w, config)))
 
 
 def array_to_tsvector(words: Column) -> Column:
@@ -138,8 +165,11 @@ def concat(a: Column, b: Column) -> Column:
 
         return F.flatten(F.transform(v, each))
 
-    last = F.coalesce(F.array_max(F.transform(F.flatten(F.transform(a, lambda e: e["positions"])), lambda p: p["at"])), F.lit(0))
-    return _gathered(F.concat(places(a, F.lit(0)), places(b, last)))
+    def both(v: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(F.flatten(F.transform(v["a"], lambda e: e["positions"])), lambda p: p["at"])), F.lit(0))
+        return _gathered(F.concat(places(v["a"], F.lit(0)), places(v["b"], last)))
+
+    return _bound(F.struct(a.alias("a"), b.alias("b")), both)
 
 
 def show(vector: Column) -> Column:
@@ -375,11 +405,15 @@ def rank(vector: Column, q: Query, weights: Sequence[float] = WEIGHTS) -> Column
     Position lists are compared in pairs, so the cost of the first grows with their product.
     """
     words = list({str(w): w for w in q.leaves()}.values())
-    often = _frequency(vector, words, weights)
-    if q.kind not in ("&", "<>") or len(words) < 2:
-        return often
-    close = _closeness(vector, words, weights)
-    return F.when(close > 0, close).otherwise(often)
+
+    def of(v: Column) -> Column:
+        often = _frequency(v, words, weights)
+        if q.kind not in ("&", "<>") or len(words) < 2:
+            return often
+        close = _closeness(v, words, weights)
+        return F.when(close > 0, close).otherwise(often)
+
+    return _bound(vector, of)
 
 
 def headline(text: Column, q: Query, start: str = "<b>", stop: str = "</b>") -> Column:

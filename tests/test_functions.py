@@ -273,3 +273,27 @@ def test_cube_distances_in_blocks(spark, sf_dir, monkeypatch):
     from orrery.queries import load
 
     assert "zip_with" not in load()[0]["cube_distances"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_search_vectors_of_a_batch(spark):
+    texts = ["b a b", None, "", "...", "the cats, THE CAT", "Straße x² b", "a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    v = rows.select("i", T.to_tsvector(F.col("t"), "simple").alias("v"), T.to_tsvector(F.col("t")).alias("e"))
+    got = v.orderBy("i").select(T.show(F.col("v")), T.show(F.col("e")), T.show(T.concat(F.col("v"), T.setweight(F.col("v"), "A")))).collect()
+    assert [r[0] for r in got] == ["'a':2 'b':1,3", None, "", "", "'cat':4 'cats':2 'the':1,3", "'b':3 'straße':1 'x²':2", "'a':1"]
+    assert [r[1] for r in got] == ["'b':1,3", None, "", "", "'cat':2,4", "'b':3 'straße':1 'x²':2", ""]
+    assert got[0][2] == "'a':2,5A 'b':1,3,4A,6A" and got[6][2] == "'a':1,2A"
+    at_once = rows.select(T.show(T.concat(T.to_tsvector(F.col("t"), "simple"), T.strip(T.to_tsvector(F.col("t"), "simple")))), T.rank(T.to_tsvector(F.col("t")), T.to_tsquery("cat & b"))).collect()
+    assert at_once[0] == ("'a':2 'b':1,3", pytest.approx(0.1 * (1 + 1 / 4) / 1.64493406685 / 2))
+    assert not rows.limit(0).select(T.to_tsvector(F.col("t"))).collect()
+
+
+def once(query, spark, sf_dir):
+    """How often the plan takes texts apart."""
+    from orrery.queries import load
+
+    return load()[0][query](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
+def test_text_statistics_works_vectors_out_once(spark, sf_dir):
+    assert once("text_statistics", spark, sf_dir) == 1
