@@ -141,7 +141,8 @@ def setweight(vector: Column, weight: str, only: Sequence[str] | None = None) ->
 
     def put(e: Column) -> Column:
         new = F.transform(e["positions"], lambda p: F.struct(p["at"].alias("at"), F.lit(weight.upper()).alias("weight")))
-        return F.struct(e["lexeme"].alias("lexeme"), (new if only is None else F.when(e["lexeme"].isin(*only), new).otherwise(e["positions"])).alias("positions"))
+        own = F.struct(e["lexeme"].alias("lexeme"), new.alias("positions"))
+        return own if only is None else F.when(e["lexeme"].isin(*only), own).otherwise(e)
 
     return F.transform(vector, put)
 
@@ -149,8 +150,8 @@ def setweight(vector: Column, weight: str, only: Sequence[str] | None = None) ->
 def ts_filter(vector: Column, weights: Sequence[str]) -> Column:
     """Lexemes at positions of those weights, and these positions."""
     kept = [w.upper() for w in weights]
-    some = F.transform(vector, lambda e: F.struct(e["lexeme"].alias("lexeme"), F.filter(e["positions"], lambda p: p["weight"].isin(*kept)).alias("positions")))
-    return F.filter(some, lambda e: F.size(e["positions"]) > 0)
+    some = F.filter(vector, lambda e: F.exists(e["positions"], lambda p: p["weight"].isin(*kept)))
+    return F.transform(some, lambda e: F.struct(e["lexeme"].alias("lexeme"), F.filter(e["positions"], lambda p: p["weight"].isin(*kept)).alias("positions")))
 
 
 def concat(a: Column, b: Column) -> Column:
