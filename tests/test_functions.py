@@ -299,6 +299,6 @@ def test_text_statistics_works_vectors_out_once(spark, sf_dir):
     assert once("text_statistics", spark, sf_dir) == 1
 
 
-@pytest.mark.parametrize("query", ["text_weights", "text_rank_documents"])
+@pytest.mark.parametrize("query", ["text_weights", "text_rank_documents", "text_vectors"])
 def test_text_queries_work_vectors_out_once(spark, sf_dir, query):
     assert once(query, spark, sf_dir) == 1
